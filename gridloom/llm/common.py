@@ -65,3 +65,9 @@ def session(df: DataFrame) -> SparkSession:
 def executor_tmp() -> str:
     """A task's own scratch folder; what it holds is rebuilt when missing."""
     return os.environ.get("TMPDIR") or tempfile.gettempdir()
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Keep Arrow batches small: texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding
+from . import decontaminate, exact_dedup, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,26 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uniform shuffle of all documents into 16 shards whose counts are at most one apart."""
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 10 benchmark words, found by FM-indexes over all documents."""
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found)
+
+
+ORACLES["op4_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, CASE WHEN len(w) < 10 THEN len(w) ELSE 10 END AS n, array_to_string(w[k : k + 9], ' ') AS win
+        FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+starts AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS win FROM d, sizes, LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS k) WHERE len(w) >= n),
+occ AS (SELECT doc_id, k, starts.n, item FROM starts JOIN win USING (win, n)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
