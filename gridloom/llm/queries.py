@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, exact_dedup, sharding, substring_dedup, warc
+from . import common, decontaminate, exact_dedup, near_dedup, sharding, substring_dedup, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS B
        sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE [w[i] FOR i IN generate_series(1, len(w)) IF NOT list_contains(ps, i)] END, ' ')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+
+@query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of two-word shingles have a similarity of 0.8 or more, over all documents."""
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+ORACLES["op8_near_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[k] || ' ' || w[k + 1] END AS sh
+      FROM d, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 1, 1))) AS k) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id AND r.c < e.b),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
