@@ -1,11 +1,70 @@
-"""The corpus pipeline: toxicity, exact dedup, MinHash near-dedup, benchmark decontamination, BPE encoding."""
+"""The corpus pipeline: toxicity, exact dedup, MinHash near-dedup, benchmark decontamination, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next one.  All
+but the last return the columns of ``documents``.  Rows of one identifier and equal text count as one row from the second stage on;
+rows without an identifier pass all stages that decide by identifier, unless an equal text stays in their place.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, common, decontaminate, exact_dedup, near_dedup, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go.  It is fitted on the labelled documents of ``docs``."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.chain_of_labels())
+    return toxicity.keep_clean(docs, model)
+
+
+def _keep(docs: DataFrame, decided: DataFrame, key: list) -> DataFrame:
+    """Rows of ``docs`` whose identifier (and further key) is among the kept ones, once each."""
+    chosen = decided.where("kept").select(*(F.col(c).alias(f"_{c}") for c in key)).distinct()
+    return docs.join(chosen, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_semi")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest identifier stays."""
+    decided = exact_dedup.exact_dedup(docs).select("doc_id", "kept", "text_sha256")
+    keyed = docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    once = Window.partitionBy("doc_id", "text_sha256").orderBy("lang", "source", "n_chars")
+    kept = _keep(keyed, decided, ["doc_id", "text_sha256"]).withColumn("_k", F.row_number().over(once))
+    return kept.where("_k = 1").drop("_k", "text_sha256")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: shingles of five words, similarity 0.8 or more."""
+    return _keep(docs, near_dedup.near_dedup(docs, shingle=5, percent=80), ["doc_id"])
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out of the texts; the other documents stay as they are."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left: doc_id, n_tokens, ids."""
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", remove_benchmark),
+    ("bpe", encode),
+]
+
+#: The first stage is a fitted model and the third works on sampled hash functions: tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written as Parquet and read again."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

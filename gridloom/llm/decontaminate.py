@@ -176,9 +176,39 @@ def without_spans(text: str, spans) -> str:
     return b"".join([*kept, raw[end:]]).decode()
 
 
-@F.udf(T.StringType(), useArrow=True)
-def remove_spans(text, spans):
-    return text if text is None or spans is None or not len(spans) else without_spans(text, spans)
+def _cut(text_at: int, size_at: int | None):
+    """The task: whole rows with a last column of spans; the text and its size change where there are any."""
+
+    def task(batches):
+        for batch in batches:
+            *columns, spans = batch.columns
+            hit = [k for k, s in enumerate(spans) if len(s)]
+            if hit:
+                texts = columns[text_at].to_pylist()
+                for k in hit:
+                    texts[k] = without_spans(texts[k], spans[k].as_py())
+                columns[text_at] = pa.array(texts, pa.string())
+                if size_at is not None:
+                    sizes = columns[size_at].to_pylist()
+                    for k in hit:
+                        sizes[k] = len(texts[k])
+                    columns[size_at] = pa.array(sizes, columns[size_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return task
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with the benchmark's passages cut out of their texts, and their sizes set to what is left."""
+    spark = docs.sparkSession
+    common.bounded_batches(spark)
+    row = F.struct(*docs.columns)
+    kind = T.StructType([T.StructField("id", docs.schema), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", ITEMS)])
+    found = docs.select(row.alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast(ITEMS).alias("items"))
+    for shared in _shared_blocks(spark, benchmark, "item_id", "text", window):
+        found = found.mapInArrow(_scan(shared, SHARD_WORDS), kind)
+    names = docs.columns
+    return found.select("id.*", "spans").mapInArrow(_cut(names.index(text_col), names.index(size_col) if size_col in names else None), docs.schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -201,3 +202,33 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 def chain_of_labels() -> dict[str, Column]:
     """The chain over the columns of ``labels``: low quality first, then toxicity."""
     return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
+def _keep(shared):
+    """The task: whole rows; those that the chain rejects go.  The text is column ``text_at``."""
+
+    def task(batches):
+        (model, text_at) = shared.value
+        held: list[pa.RecordBatch] = []
+
+        def named():
+            for batch in batches:
+                held.append(batch)
+                text = batch.column(text_at)
+                yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), text], names=["id", "text"])
+
+        class _Model:
+            value = model
+
+        for decided in _score(_Model)(named()):
+            yield held.pop(0).filter(pa.compute.invert(decided.column(decided.num_columns - 1)))
+
+    return task
+
+
+def keep_clean(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't toxic, as they are; nothing moves."""
+    spark = docs.sparkSession
+    common.bounded_batches(spark)
+    shared = spark.sparkContext.broadcast((model, docs.columns.index(text_col)))
+    return docs.mapInArrow(_keep(shared), docs.schema)
