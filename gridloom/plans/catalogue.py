@@ -1,6 +1,354 @@
-"""Every query of the grid engine over the driver's tables, with its DuckDB counterpart."""
+"""Every query of the grid engine over the driver's tables, with its DuckDB counterpart.
+
+The tables have no coordinates, so observations are derived from ``events`` (and, for volume, ``lineitem``) by the same
+arithmetic in both engines.  The counterparts are literal: a BETWEEN join of all cells with all observations.
+"""
 
 from __future__ import annotations
 
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions.projection import Projection, extent
+from gridloom.operators import query as q
+from gridloom.operators.assign import assign
+from gridloom.plans import pipeline as p
+from gridloom.plans.gridspec import Bounds, GridSpec
+from gridloom.sources.index import load_index, save_index
+from gridloom.sources.rawio import read_raster, write_raster
+from gridloom.sources.scratch import local_path, scratch
+from gridloom.sources.timemap import linear_timemap
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+MERC = "+proj=merc +ellps=WGS84 +lat_ts=55.0 +lon_0=-15.0"
+TENS = GridSpec(36, 18)
+OVER = GridSpec(36, 18, hsample=3 * TENS.hres, vsample=3 * TENS.vres)
+UNDER = GridSpec(36, 18, hsample=0.4 * TENS.hres, vsample=0.4 * TENS.vres)
+TIMED = GridSpec(36, 18, time_min=1000, time_max=6000)
+FINE = GridSpec()
+BOX = Bounds(-5e6, 5e6, -2e6, 6e6)
+BOX_TIME = Bounds(-5e6, 5e6, -2e6, 6e6, 1000, 6000)
+
+
+def register(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+# Observations.
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_index, lon, lat, t, value; every fourth value is the fill value."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
+    return e.select(
+        F.col("event_id").alias("record_index"),
+        ((F.col("event_id") * 7919 % 36000).cast("double") / F.lit(100.0) - 180).cast("float").alias("lon"),
+        ((F.col("event_id") * 104729 % 18000).cast("double") / F.lit(100.0) - 90).cast("float").alias("lat"),
+        F.col("event_id").cast("float").alias("t"),
+        F.when(F.col("event_id") % 4 == 0, F.lit(-999.0)).otherwise(F.col("value")).alias("value"),
+    )
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from ``lineitem``: six times as many observations."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    return rows.select(key.alias("record_index"), ((key * 7919 % 36000).cast("double") / F.lit(100.0) - 180).cast("float").alias("lon"), ((key * 104729 % 18000).cast("double") / F.lit(100.0) - 90).cast("float").alias("lat"), F.col("l_quantity").cast("double").alias("value"))
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.observe(events(spark, sf_dir))
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of four opaque bytes."""
+    o = observed(spark, sf_dir)
+    return o.withColumn("value", F.unhex(F.substring(F.md5(F.col("record_index").cast("string").cast("binary")), 1, 8)))
+
+
+_EVENTS = """
+obs AS (SELECT event_id AS record_index, CAST(CAST((event_id * 7919) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - 180 AS FLOAT) AS lon,
+        CAST(CAST((event_id * 104729) % 18000 AS DOUBLE) / CAST(100 AS DOUBLE) - 90 AS FLOAT) AS lat, CAST(event_id AS FLOAT) AS t,
+        CASE WHEN event_id % 4 = 0 THEN CAST(-999 AS DOUBLE) ELSE value END AS value,
+        unhex(substr(md5(CAST(event_id AS VARCHAR)), 1, 8)) AS code FROM events)"""
+_LINES = """
+obs AS (SELECT k AS record_index, CAST(CAST((k * 7919) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - 180 AS FLOAT) AS lon,
+        CAST(CAST((k * 104729) % 18000 AS DOUBLE) / CAST(100 AS DOUBLE) - 90 AS FLOAT) AS lat, CAST(0 AS FLOAT) AS t, value
+        FROM (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS k, CAST(l_quantity AS DOUBLE) AS value FROM lineitem))"""
+_XY = """
+xy AS (SELECT *, CAST(radians(CAST(lon AS DOUBLE)) * CAST(6378137 AS DOUBLE) AS FLOAT) AS x, CAST(radians(CAST(lat AS DOUBLE)) * CAST(6378137 AS DOUBLE) AS FLOAT) AS y FROM obs)"""
+
+
+def _d(v: float) -> str:
+    return f"CAST({v!r} AS DOUBLE)"
+
+
+def _f(v: float) -> str:
+    return f"CAST({_d(v)} AS FLOAT)"
+
+
+def _cells(g: GridSpec) -> str:
+    """All cells with their centres and boxes."""
+    return f"""
+cells AS (SELECT *, x - {_f(g.h_offset)} AS x_lo, x + {_f(g.h_offset)} AS x_hi, y - {_f(g.v_offset)} AS y_lo, y + {_f(g.v_offset)} AS y_hi FROM (
+          SELECT CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, CAST({g.height - 1} - v AS INTEGER) AS row, CAST(u AS INTEGER) AS col,
+                 CAST(({g.height - 1} - v) * {g.width} + u AS BIGINT) AS idx,
+                 CAST({_d(g.x_0)} + (u + {_d(0.5)}) * {_d(g.hres)} AS FLOAT) AS x, CAST({_d(g.y_0)} + (v + {_d(0.5)}) * {_d(g.vres)} AS FLOAT) AS y
+          FROM (SELECT unnest(generate_series(0, {g.height - 1})) AS v), (SELECT unnest(generate_series(0, {g.width - 1})) AS u)))"""
+
+
+def _met(g: GridSpec, compat: bool = False) -> str:
+    """Cells with the observations in their boxes; d2 and d to the centre."""
+    cx = f"CAST((c.x_lo + c.x_hi) / {_d(2.0)} AS DOUBLE)"
+    cy = f"CAST(({'c.x_hi' if compat else 'c.y_hi'} + c.y_lo) / {_d(2.0)} AS DOUBLE)"
+    dx, dy = f"({cx} - o.x)", f"({cy} - o.y)"
+    if compat:
+        square = lambda d: f"CAST(CAST(CAST({d} AS FLOAT) AS DOUBLE) * CAST(CAST({d} AS FLOAT) AS DOUBLE) AS FLOAT)"
+        d2 = f"CAST(CAST({square(dx)} + {square(dy)} AS FLOAT) AS DOUBLE)"
+    else:
+        d2 = f"({dx} * {dx} + {dy} * {dy})"
+    timed = "" if g.time_min == float("-inf") else f" AND o.t BETWEEN {_f(g.time_min)} AND {_f(g.time_max)}"
+    return f"""
+met AS (SELECT c.v, c.u, o.*, {d2} AS d2, sqrt({d2}) AS d FROM cells c JOIN xy o ON o.x BETWEEN c.x_lo AND c.x_hi AND o.y BETWEEN c.y_lo AND c.y_hi{timed})"""
+
+
+_AGG = {
+    "mean": "avg(value)",
+    "weighted_mean": "sum(value * d) / nullif(sum(d), 0)",
+    "median": "median(value)",
+    "numeric_nearest_neighbour": "arg_min(value, (d2, record_index))",
+    "newest": "arg_max(value, (t, -record_index))",
+}
+
+
+def grid_sql(g: GridSpec, name: str, value: str | None = None, compat: bool = False, fill: str = "value <> -999", obs: str = _EVENTS) -> str:
+    value = value or "round(coalesce(a, CAST(-999 AS DOUBLE)), 6)"
+    return f"""WITH {obs},{_XY},{_cells(g)},{_met(g, compat)},
+r AS (SELECT v, u, {_AGG[name]} AS a FROM met WHERE {fill} GROUP BY v, u)
+SELECT row, col, idx, x, y, {value} AS value FROM cells LEFT JOIN r USING (v, u)"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("value", F.round("value", 6))
+
+
+# Projections.
+@register("project_eqc_forward", f"WITH {_EVENTS},{_XY} SELECT record_index, x, y FROM xy")
+def _(spark, sf_dir):
+    return observed(spark, sf_dir).select("record_index", "x", "y")
+
+
+@register("project_eqc_inverse", f"WITH {_EVENTS},{_XY} SELECT record_index, CAST(degrees(CAST(x AS DOUBLE) / CAST(6378137 AS DOUBLE)) AS FLOAT) AS lon, CAST(degrees(CAST(y AS DOUBLE) / CAST(6378137 AS DOUBLE)) AS FLOAT) AS lat FROM xy")
+def _(spark, sf_dir):
+    lon, lat = Projection.parse("+proj=eqc +datum=WGS84").inverse(F.col("x"), F.col("y"))
+    return observed(spark, sf_dir).select("record_index", lon.alias("lon"), lat.alias("lat"))
+
+
+_M = Projection.parse(MERC)
+_PI = "pi()"
+_MERC_XY = f"""
+lam AS (SELECT record_index, radians(CAST(lat AS DOUBLE)) AS phi, abs(CAST(lat AS DOUBLE)) AS far, radians(CAST(lon AS DOUBLE)) - {_d(-0.2617993877991494)} AS l FROM obs),
+m AS (SELECT record_index, CASE WHEN far <= 90 AND abs(abs(phi) - pi() / 2) > 1e-10 THEN 1 END AS ok, phi,
+      CASE WHEN abs(l) <= {_d(3.14159265359)} THEN l ELSE (l + pi()) - {_d(6.283185307179586)} * floor((l + pi()) / {_d(6.283185307179586)}) - pi() END AS l, {_d(_M.e)} * sin(phi) AS s FROM lam),
+xy AS (SELECT record_index, CASE WHEN ok = 1 THEN CAST(l * {_d(_M.a * _M.k0)} AS FLOAT) ELSE CAST('inf' AS FLOAT) END AS x,
+       CASE WHEN ok = 1 THEN CAST({_d(-_M.a * _M.k0)} * ln(tan({_d(0.7853981633974483)} - phi / 2) / pow((1 - s) / (1 + s), {_d(_M.e / 2)})) AS FLOAT) ELSE CAST('inf' AS FLOAT) END AS y FROM m)"""
+
+
+@register("project_merc_forward", f"WITH {_EVENTS},{_MERC_XY} SELECT record_index, round(CAST(x AS DOUBLE), 0) AS x, round(CAST(y AS DOUBLE), 0) AS y FROM xy")
+def _(spark, sf_dir):
+    o = q.observe(events(spark, sf_dir), MERC)
+    return o.select("record_index", F.round(F.col("x").cast("double"), 0).alias("x"), F.round(F.col("y").cast("double"), 0).alias("y"))
+
+
+def _merc_inverse_sql() -> str:
+    phi, out = f"pi() / 2 - 2 * atan(t)", []
+    for k in range(8):
+        out.append(f"p{k} AS (SELECT *, pi() / 2 - 2 * atan(t * exp({_d(-_M.e)} * atanh({_d(_M.e)} * sin({'phi0' if not k else f'phi{k}'})))) AS phi{k + 1} FROM {'t0' if not k else f'p{k - 1}'})")
+    return f"""WITH {_cells(TENS)},
+t0 AS (SELECT row, col, idx, x, y, exp(-CAST(y AS DOUBLE) / {_d(_M.a * _M.k0)}) AS t, pi() / 2 - 2 * atan(exp(-CAST(y AS DOUBLE) / {_d(_M.a * _M.k0)})) AS phi0 FROM cells),
+{", ".join(out)}
+SELECT row, col, idx, x, y, round(CAST(CAST(degrees(CAST(x AS DOUBLE) / {_d(_M.a * _M.k0)}) + {_d(-15.0)} AS FLOAT) AS DOUBLE), 4) AS lon, round(CAST(CAST(degrees(phi8) AS FLOAT) AS DOUBLE), 4) AS lat FROM p7"""
+
+
+@register("grid_geolocation_merc", _merc_inverse_sql())
+def _(spark, sf_dir):
+    g = p.grid_geolocation(spark, TENS, MERC)
+    return g.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in ("lon", "lat")})
+
+
+# The grid.
+@register("grid_skeleton", f"WITH {_cells(TENS)} SELECT row, col, idx, x, y FROM cells")
+def _(spark, sf_dir):
+    return TENS.skeleton(spark).select("row", "col", "idx", "x", "y")
+
+
+@register("grid_geolocation", f"WITH {_cells(TENS)} SELECT row, col, idx, x, y, CAST(degrees(CAST(x AS DOUBLE) / CAST(6378137 AS DOUBLE)) AS FLOAT) AS lon, CAST(degrees(CAST(y AS DOUBLE) / CAST(6378137 AS DOUBLE)) AS FLOAT) AS lat FROM cells")
+def _(spark, sf_dir):
+    return p.grid_geolocation(spark, TENS)
+
+
+# Assignment.
+for _name, _g in (("assign_cells", TENS), ("assign_cells_oversampled", OVER), ("assign_cells_undersampled", UNDER), ("assign_cells_time_window", TIMED)):
+
+    @register(_name, f"WITH {_EVENTS},{_XY},{_cells(_g)},{_met(_g)} SELECT record_index, v, u FROM met")
+    def _(spark, sf_dir, g=_g):
+        return assign(observed(spark, sf_dir), g).select("record_index", "v", "u")
+
+
+# Rasters.
+def _gridded(g: GridSpec, name: str, **options):
+    return lambda spark, sf_dir: _rounded(p.grid_observed(observed(spark, sf_dir), g, name, **options))
+
+
+for _name, _g, _r in (
+    ("grid_mean", TENS, "mean"),
+    ("grid_weighted_mean", TENS, "weighted_mean"),
+    ("grid_median", TENS, "median"),
+    ("grid_nn_numeric", TENS, "numeric_nearest_neighbour"),
+    ("grid_newest", TENS, "newest"),
+    ("grid_mean_time_window", TIMED, "mean"),
+    ("grid_mean_oversampled", OVER, "mean"),
+    ("grid_median_oversampled", OVER, "median"),
+    ("grid_nn_oversampled", OVER, "numeric_nearest_neighbour"),
+    ("grid_mean_undersampled", UNDER, "mean"),
+):
+    register(_name, grid_sql(_g, _r))(_gridded(_g, _r))
+
+for _name, _r in (("grid_weighted_mean_compat", "weighted_mean"), ("grid_nn_compat", "numeric_nearest_neighbour")):
+    _value = "round(coalesce(a, CAST(-999 AS DOUBLE)), 6)" if _r == "weighted_mean" else "round(coalesce(CAST(CAST(a AS FLOAT) AS DOUBLE), CAST(-999 AS DOUBLE)), 6)"
+    register(_name, grid_sql(TENS, _r, _value, compat=True))(_gridded(TENS, _r, compat=True))
+
+
+@register("grid_nn_coded", f"""WITH {_EVENTS},{_XY},{_cells(TENS)},{_met(TENS)}, r AS (SELECT v, u, arg_min(code, (d2, record_index)) AS a FROM met GROUP BY v, u)
+SELECT row, col, idx, x, y, coalesce(hex(a), '00000000') AS value FROM cells LEFT JOIN r USING (v, u)""")
+def _(spark, sf_dir):
+    return p.grid_observed(coded(spark, sf_dir), TENS, "coded_nearest_neighbour", "coded32").withColumn("value", F.hex("value"))
+
+
+@register("grid_mean_int_output", grid_sql(TENS, "mean", "CAST(trunc(coalesce(a, -999)) AS INTEGER)"))
+def _(spark, sf_dir):
+    return p.grid_observed(observed(spark, sf_dir), TENS, "mean", output_dtype="int32")
+
+
+@register("grid_mean_uint8_output", grid_sql(TENS, "mean", "CAST(CASE WHEN trunc(a) BETWEEN 0 AND 255 THEN trunc(a) ELSE 7 END AS SMALLINT)"))
+def _(spark, sf_dir):
+    return p.grid_observed(observed(spark, sf_dir), TENS, "mean", output_dtype="uint8", output_fill=7)
+
+
+@register("grid_mean_geolocated", f"""SELECT *, CAST(degrees(CAST(x AS DOUBLE) / CAST(6378137 AS DOUBLE)) AS FLOAT) AS lon, CAST(degrees(CAST(y AS DOUBLE) / CAST(6378137 AS DOUBLE)) AS FLOAT) AS lat FROM ({grid_sql(TENS, "mean")})""")
+def _(spark, sf_dir):
+    return _rounded(p.grid_observed(observed(spark, sf_dir), TENS, "mean", geolocation=True))
+
+
+@register("grid_all_fill_empty", grid_sql(TENS, "mean", fill="false"))
+def _(spark, sf_dir):
+    nothing = observed(spark, sf_dir).withColumn("value", F.lit(-999.0))
+    return _rounded(p.grid_observed(nothing, TENS, "mean"))
+
+
+@register("grid_mean_lineitem", grid_sql(TENS, "mean", obs=_LINES))
+def _(spark, sf_dir):
+    return _rounded(p.grid_observations(lines(spark, sf_dir), TENS, "mean"))
+
+
+@register("grid_mean_default_grid", grid_sql(FINE, "mean"))
+def _(spark, sf_dir):
+    return _rounded(p.grid_observed(observed(spark, sf_dir), FINE, "mean"))
+
+
+@register("masked_log10", f"SELECT row, col, idx, x, y, CASE WHEN value > 0 THEN round(log10(value), 6) END AS value FROM ({grid_sql(TENS, 'median')})")
+def _(spark, sf_dir):
+    return _rounded(p.masked(_rounded(p.grid_observed(observed(spark, sf_dir), TENS, "median")), log=True))
+
+
+@register("all_fill", f"SELECT bool_and(value = -999) AS all_fill FROM ({grid_sql(TENS, 'mean')})")
+def _(spark, sf_dir):
+    return p.all_fill(p.grid_observed(observed(spark, sf_dir), TENS, "mean"))
+
+
+# Boxes.
+_IN = "x BETWEEN CAST(-5e6 AS FLOAT) AND CAST(5e6 AS FLOAT) AND y BETWEEN CAST(-2e6 AS FLOAT) AND CAST(6e6 AS FLOAT)"
+_IN_TIME = _IN + " AND t BETWEEN CAST(1000 AS FLOAT) AND CAST(6000 AS FLOAT)"
+for _name, _b, _where in (("range_query_box", BOX, _IN), ("range_query_box_time", BOX_TIME, _IN_TIME), ("range_query_unbounded", Bounds(), "true")):
+
+    @register(_name, f"WITH {_EVENTS},{_XY} SELECT record_index, x, y, t, value FROM xy WHERE {_where}")
+    def _(spark, sf_dir, b=_b):
+        return q.range_query(observed(spark, sf_dir), b).select("record_index", "x", "y", "t", "value")
+
+
+for _r, _agg in _AGG.items():
+    # the box's centre is (0, 2e6)
+    @register(f"reduce_box_{_r}", f"WITH {_EVENTS},{_XY}, b AS (SELECT *, CAST(x AS DOUBLE) * x + (2e6 - CAST(y AS DOUBLE)) * (2e6 - CAST(y AS DOUBLE)) AS d2 FROM xy WHERE {_IN} AND value <> -999), c AS (SELECT *, sqrt(d2) AS d FROM b) SELECT round(coalesce({_agg}, CAST(-999 AS DOUBLE)), 6) AS value FROM c")
+    def _(spark, sf_dir, r=_r):
+        return _rounded(q.reduce_box(observed(spark, sf_dir), r, BOX))
+
+
+@register("reduce_box_coded_nearest_neighbour", f"WITH {_EVENTS},{_XY} SELECT hex(arg_min(code, (CAST(x AS DOUBLE) * x + (2e6 - CAST(y AS DOUBLE)) * (2e6 - CAST(y AS DOUBLE)), record_index))) AS value FROM xy WHERE {_IN}")
+def _(spark, sf_dir):
+    return q.reduce_box(coded(spark, sf_dir), "coded_nearest_neighbour", BOX).select(F.hex("value").alias("value"))
+
+
+@register("nearest_neighbour", f"""WITH {_EVENTS},{_XY},{_cells(TENS)},
+n AS (SELECT c.idx, min((((CAST(c.x AS DOUBLE) - o.x) * (CAST(c.x AS DOUBLE) - o.x) + (CAST(c.y AS DOUBLE) - o.y) * (CAST(c.y AS DOUBLE) - o.y)), o.record_index)) AS m FROM cells c, xy o GROUP BY c.idx)
+SELECT idx AS target_id, m[2] AS record_index, m[1] AS d2 FROM n""")
+def _(spark, sf_dir):
+    """The observation nearest to every cell's centre."""
+    return q.nearest_neighbour(observed(spark, sf_dir), TENS.skeleton(spark).select(F.col("idx").alias("target_id"), "x", "y"))
+
+
+@register("observation_extent", f"WITH {_EVENTS},{_XY} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(t) AS min_t, max(t) AS max_t, count(*) AS num_observations FROM xy")
+def _(spark, sf_dir):
+    return q.observation_extent(observed(spark, sf_dir))
+
+
+@register("extent_calc", f"""WITH c AS (SELECT {_d(_M.a * _M.k0)} * radians(CAST(28 AS DOUBLE)) AS x1, {_d(_M.a * _M.k0)} * radians(CAST(0 AS DOUBLE)) AS x0,
+ {_d(-_M.a * _M.k0)} * ln(tan(pi() / 4 - radians(CAST(63 AS DOUBLE)) / 2) / pow((1 - {_d(_M.e)} * sin(radians(CAST(63 AS DOUBLE)))) / (1 + {_d(_M.e)} * sin(radians(CAST(63 AS DOUBLE)))), {_d(_M.e / 2)})) AS y1,
+ {_d(-_M.a * _M.k0)} * ln(tan(pi() / 4 - radians(CAST(47 AS DOUBLE)) / 2) / pow((1 - {_d(_M.e)} * sin(radians(CAST(47 AS DOUBLE)))) / (1 + {_d(_M.e)} * sin(radians(CAST(47 AS DOUBLE)))), {_d(_M.e / 2)})) AS y0)
+SELECT round(CAST(CAST((x1 + x0) / 2 AS FLOAT) AS DOUBLE), 2) AS central_x, round(CAST(CAST((y1 + y0) / 2 AS FLOAT) AS DOUBLE), 2) AS central_y,
+ CAST(ceil(abs(x1 - x0) / 1100) AS INTEGER) AS width, CAST(ceil(abs(y1 - y0) / 1100) AS INTEGER) AS height FROM c""")
+def _(spark, sf_dir):
+    e = extent(MERC, 63, 47, 13, -15, 1100, 1100)
+    return spark.createDataFrame([(round(e.central_x, 2), round(e.central_y, 2), e.width, e.height)], "central_x double, central_y double, width int, height int")
+
+
+@register("linear_timemap", """SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(r * 36 + c AS BIGINT) AS idx,
+ CAST(CASE WHEN r = 17 THEN CAST(900 AS DOUBLE) ELSE r * CAST(800.0 / 17 AS DOUBLE) + CAST(100 AS DOUBLE) END AS FLOAT) AS t
+FROM (SELECT unnest(generate_series(0, 17)) AS r), (SELECT unnest(generate_series(0, 35)) AS c)""".replace("CAST(800.0 / 17 AS DOUBLE)", _d(800.0 / 17)))
+def _(spark, sf_dir):
+    return linear_timemap(spark, 36, 18, 100.0, 900.0)
+
+
+# Saved geometry and flat files.
+@register("index_roundtrip", f"WITH {_EVENTS},{_XY} SELECT record_index, x, y, t FROM xy WHERE {_IN_TIME}")
+def _(spark, sf_dir):
+    path = scratch(spark, "index")
+    save_index(observed(spark, sf_dir), path, "+proj=eqc +datum=WGS84")
+    return q.range_query(load_index(spark, path).observed, BOX_TIME)
+
+
+@register("index_product", grid_sql(TENS, "mean"))
+def _(spark, sf_dir):
+    """A raster from saved geometry and the values of one product."""
+    from gridloom.sources.index import with_values
+
+    path = scratch(spark, "index")
+    save_index(observed(spark, sf_dir), path, "+proj=eqc +datum=WGS84")
+    return _rounded(p.grid_observed(with_values(load_index(spark, path), events(spark, sf_dir)), TENS, "mean"))
+
+
+@register("raw_roundtrip", f"SELECT row, col, idx, CAST(value AS FLOAT) AS value FROM ({grid_sql(TENS, 'median')})")
+def _(spark, sf_dir):
+    """A raster written as a flat file and read back."""
+    path = local_path(scratch(spark, "raster"))
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    raster = _rounded(p.grid_observed(observed(spark, sf_dir), TENS, "median"))
+    write_raster(raster.withColumn("value", F.col("value").cast("float")), path, TENS.width * TENS.height)
+    return read_raster(spark, path, TENS.width)
