@@ -75,6 +75,13 @@ class Vocabulary:
         if names != ["NFC", "Replace", "Lowercase"] or model.get("unk_token") or spec.get("decoder"):
             raise ValueError("the file has another pipeline than this operator implements")
 
+    @classmethod
+    def of(cls, state: dict) -> Vocabulary:
+        """From ``vars`` of another one: what is broadcast holds plain values only."""
+        v = cls.__new__(cls)
+        vars(v).update(state)
+        return v
+
 
 class Splitter:
     """Normalised words of a text."""
@@ -253,7 +260,7 @@ def _encode(vocabulary, name: str, digests: bool):
     """The task: id, text to ids and decoded text, or to their digests."""
 
     def task(batches):
-        encoder = Encoder(vocabulary.value, Transducer(SparkFiles.get(name)))
+        encoder = Encoder(Vocabulary.of(vocabulary.value), Transducer(SparkFiles.get(name)))
         for batch in batches:
             ids = encoder.encode(batch.column("text").to_pylist())
             columns = [batch.column("id"), pa.array([len(i) // 4 for i in ids], pa.int64())]
@@ -278,12 +285,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     name = publish(spark, compile_lexicon(frequent_words(rows.select("text"), v.special, lexicon), v))
     kind = docs.schema[id_col].dataType.simpleString()
     result = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return rows.mapInArrow(_encode(spark.sparkContext.broadcast(v), name, digests), f"id {kind}, n_tokens long, {result}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_encode(spark.sparkContext.broadcast(vars(v)), name, digests), f"id {kind}, n_tokens long, {result}").withColumnRenamed("id", id_col)
 
 
 def _decode(vocabulary):
     def task(batches):
-        tokens = vocabulary.value.tokens
+        tokens = vocabulary.value["tokens"]
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([None if i is None else " ".join(map(tokens.__getitem__, i)) for i in batch.column("ids").to_pylist()], pa.string())], names=["id", "text"])
 
@@ -296,4 +303,4 @@ def decode_documents(encoded: DataFrame, vocabulary_path: str, id_col: str = "do
     common.bounded_batches(spark)
     kind = encoded.schema[id_col].dataType.simpleString()
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(_decode(spark.sparkContext.broadcast(Vocabulary(vocabulary_path))), f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_decode(spark.sparkContext.broadcast(vars(Vocabulary(vocabulary_path)))), f"id {kind}, text string").withColumnRenamed("id", id_col)

@@ -42,6 +42,13 @@ class Pieces:
         if any(SPACE in x.lstrip(SPACE) for x in self.score):
             raise ValueError("a piece goes over a space mark")
 
+    @classmethod
+    def of(cls, state: dict) -> Pieces:
+        """From ``vars`` of another one: what is broadcast holds plain values only."""
+        p = cls.__new__(cls)
+        vars(p).update(state)
+        return p
+
 
 def pre_tokens(text: str) -> list[str]:
     """A space mark stands before the text and for each space; a line feed has no piece, so it parts pre-tokens too."""
@@ -106,7 +113,7 @@ class Counts(dict):
 
 def _count(shared):
     def task(batches):
-        counts = Counts(shared.value)
+        counts = Counts(Pieces.of(shared.value))
         get = counts.__getitem__
         for batch in batches:
             tokens, words = [], []
@@ -125,5 +132,5 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     common.bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(Pieces(model_path))  # as large as the file's vocabulary
+    shared = spark.sparkContext.broadcast(vars(Pieces(model_path)))  # as large as the file's vocabulary
     return rows.mapInArrow(_count(shared), f"id {kind}, n_tokens long, n_pretokens long").withColumnRenamed("id", id_col)

@@ -55,6 +55,10 @@ class Linear:
     def __init__(self, chosen: np.ndarray, weights: np.ndarray, chain: np.ndarray, bias: float):
         self.chosen, self.weights, self.chain, self.bias = chosen, weights, chain, bias
 
+    def parts(self) -> tuple:
+        """What is broadcast holds plain values only."""
+        return self.chosen, self.weights, self.chain, self.bias
+
 
 def choose(rows: np.ndarray, ids: np.ndarray, n: int, y: np.ndarray) -> np.ndarray:
     """The features whose presence differs most between the classes, by the z score of two proportions."""
@@ -143,6 +147,7 @@ def _score(shared):
 
     def task(batches):
         models, names, threshold = shared.value
+        models = [Linear(*m) for m in models]
         every = np.unique(np.concatenate([m.chosen for m in models]))
         number = {int(f): k for k, f in enumerate(every)}
         place = [np.searchsorted(every, m.chosen) for m in models]
@@ -186,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     y = np.array([[r[n] for n in names] for r in found], np.int64).reshape(len(found), len(names))
     folds = np.array([xxhash.xxh32_intdigest(str(r.id)) % FOLDS for r in found], np.int64)
     models, threshold = fit_chain([np.frombuffer(r.features, np.uint32) for r in found], y, folds)
-    return models, names, threshold
+    return [m.parts() for m in models], names, threshold
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
