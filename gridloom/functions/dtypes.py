@@ -76,10 +76,14 @@ def stored(value: Column, d: DType, fill: float) -> Column:
     low, high = d.bounds()
     # decimals hold every 64-bit integer, so the comparison is exact
     exact = _truncated(value)
-    inside = exact.between(F.lit(low).cast("decimal(20,0)"), F.lit(high).cast("decimal(20,0)"))
-    return F.when(inside, exact).otherwise(F.lit(int(fill)).cast("decimal(20,0)")).cast(d.spark)
+    whole = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    return F.when(exact.between(whole(low), whole(high)), exact).otherwise(whole(int(fill))).cast(d.spark)
 
 
 def _truncated(value: Column) -> Column:
-    whole = F.when(value >= 0, F.floor(F.abs(value).try_cast("decimal(38,10)"))).otherwise(-F.floor(F.abs(value).try_cast("decimal(38,10)")))
-    return whole.try_cast("decimal(20,0)")
+    """The whole part, exactly: doubles go to decimals in two halves of 32 bits; null beyond 20 digits and for NaN."""
+    size = F.when(F.abs(value) < 1e19 * 2, F.abs(value))
+    high = F.floor(size / F.lit(4294967296.0))
+    low = F.floor(size - high.cast("double") * F.lit(4294967296.0))
+    whole = (high.cast("decimal(12,0)") * F.lit("4294967296").cast("decimal(11,0)") + low.cast("decimal(12,0)")).cast("decimal(21,0)")
+    return F.when(value < 0, -whole).otherwise(whole).try_cast("decimal(20,0)")
