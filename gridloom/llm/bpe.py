@@ -209,6 +209,8 @@ def compile_lexicon(words: list[str], v: Vocabulary) -> bytes:
 def publish(spark, data: bytes) -> str:
     """Hand a file to all executors, also those that start later; returns its name for SparkFiles."""
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:32]}.bin"
+    if any(f.endswith(f"/{name}") for f in spark.sparkContext.listFiles):  # the same file for the same words
+        return name
     path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="gridloom-")), name)
     with open(path, "wb") as f:
         f.write(data)

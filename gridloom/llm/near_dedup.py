@@ -377,7 +377,7 @@ def _within_keys(stars: DataFrame, pairs: DataFrame, labels: DataFrame, rows: Da
     # keys with very many components: all members, by the key itself
     crowd = ends.join(keys.where(f"n > {LISTED}").select("key"), "key").select(F.col("key").alias("gid"), "id", "comp").distinct()
     base = common.materialise(base.union(crowd).withColumn("query", F.lit(False)).union(queries.union(crowd).withColumn("query", F.lit(True))), "contesters")
-    blocks = base.groupBy("gid").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("query") == q, 1).otherwise(0)) / BLOCK)).cast("int").alias(n) for n, q in (("base_blocks", False), ("query_blocks", True))))
+    blocks = common.materialise(base.groupBy("gid").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("query") == q, 1).otherwise(0)) / BLOCK)).cast("int").alias(n) for n, q in (("base_blocks", False), ("query_blocks", True)))), "blocks")  # a plain join below, which may be split where a gid is hot
     own = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("query_blocks")).otherwise(F.col("base_blocks"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("base_blocks")).otherwise(F.col("query_blocks")) - 1))
     placed = base.join(blocks, "gid").select("gid", "id", "comp", "query", own.alias("own"), other.alias("other"))

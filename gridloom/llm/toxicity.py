@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled documents to fit on, folds, features of a model, lengths of word beginnings.
-SAMPLE, FOLDS, FEATURES, STARTS = 12_000, 3, 600, (5, 6, 7)
-_BITS = (1 << 22) - 1
+SAMPLE, FOLDS, FEATURES, STARTS = 8_000, 3, 600, (5, 6, 7)
+_BITS = (1 << 21) - 1
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -60,42 +60,54 @@ class Linear:
         return self.chosen, self.weights, self.chain, self.bias
 
 
-def choose(rows: np.ndarray, ids: np.ndarray, n: int, y: np.ndarray) -> np.ndarray:
-    """The features whose presence differs most between the classes, by the z score of two proportions."""
-    every, place = np.unique(ids, return_inverse=True)
-    pos = np.bincount(place, y[rows], len(every))
-    both = np.bincount(place, minlength=len(every))
-    n1, n0 = y.sum(), n - y.sum()
+def choose(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features whose presence differs most between the classes, by the z score of two proportions, and their scales.
+
+    A feature's scale is the logarithm of its rates' ratio, so strong features need small weights and the ridge spares them.
+
+    Counts take one array over all hash values, whatever the number of documents.
+    """
+    n, n1 = int(inside.sum()), int(y[inside].sum())
+    n0 = n - n1
+    both = np.bincount(ids[inside[rows]], minlength=_BITS + 1)
+    pos = np.bincount(ids[(inside & (y == 1))[rows]], minlength=_BITS + 1)
+    seen = np.flatnonzero(both >= 3)
+    pos, both = pos[seen], both[seen]
     rate = both / n
     z = np.abs(pos / n1 - (both - pos) / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12)
-    z[(both < 3) | (z < 4)] = 0
+    z[z < 4] = 0
     top = np.argsort(-z, kind="stable")[:FEATURES]
-    return np.sort(every[top[z[top] > 0]])
+    top = np.sort(top[z[top] > 0])
+    return seen[top].astype(np.uint32), np.abs(np.log((pos[top] + 0.5) / (n1 + 1) * (n0 + 1) / (both[top] - pos[top] + 0.5)))
 
 
 def dense(rows: np.ndarray, ids: np.ndarray, n: int, chosen: np.ndarray) -> np.ndarray:
+    """Presence of the chosen features, a row for each document."""
     x = np.zeros((n, len(chosen)), np.float32)
-    if len(chosen):
-        at = np.minimum(np.searchsorted(chosen, ids), len(chosen) - 1)
-        hit = chosen[at] == ids
-        x[rows[hit], at[hit]] = 1
+    place = np.full(_BITS + 1, -1, np.int16)
+    place[chosen] = np.arange(len(chosen))
+    at = place[ids]
+    hit = at >= 0
+    x[rows[hit], at[hit]] = 1
     return x
 
 
-def fit(rows: np.ndarray, ids: np.ndarray, n: int, y: np.ndarray, chain: np.ndarray, ridge: float = 2.0, rounds: int = 200) -> Linear:
-    """Nesterov's accelerated gradient; all orders are fixed, so the result is the same every time."""
-    base = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if n else 1e-6
-    if not n or y.min() == y.max():
+def fit(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, chain: np.ndarray, inside: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> Linear:
+    """Nesterov's accelerated gradient on the documents inside; all orders are fixed, so the result is the same every time."""
+    n = int(inside.sum())
+    base = float(np.clip(y[inside].mean(), 1e-6, 1 - 1e-6)) if n else 1e-6
+    if not n or y[inside].min() == y[inside].max():
         return Linear(np.zeros(0, np.uint32), np.zeros(0), np.zeros(chain.shape[1]), float(np.log(base / (1 - base))))
-    chosen = choose(rows, ids, n, y)
-    x = np.concatenate([dense(rows, ids, n, chosen), chain.astype(np.float32), np.ones((n, 1), np.float32)], 1)
+    chosen, scale = choose(rows, ids, y, inside)
+    x = np.concatenate([dense(rows, ids, len(y), chosen)[inside] * scale.astype(np.float32), chain[inside].astype(np.float32), np.ones((n, 1), np.float32)], 1)
+    y = y[inside]
     v = np.ones(x.shape[1], np.float32)
     for _ in range(20):
         v = x.T @ (x @ v)
         size = float(np.linalg.norm(v))
         v /= size
     step = 1 / (size / 4 + ridge)
-    w = look = np.zeros(x.shape[1], np.float64)
+    w = np.zeros(x.shape[1], np.float64)
     w[-1] = np.log(base / (1 - base))
     look, t = w.copy(), 1.0
     shrink = np.full(len(w), ridge)
@@ -106,7 +118,7 @@ def fit(rows: np.ndarray, ids: np.ndarray, n: int, y: np.ndarray, chain: np.ndar
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         look, w = new + (before - 1) / t * (new - w), new
     k = len(chosen)
-    return Linear(chosen, w[:k], w[k:-1], float(w[-1]))
+    return Linear(chosen, w[:k] * scale, w[k:-1], float(w[-1]))
 
 
 def log_odds(m: Linear, rows: np.ndarray, ids: np.ndarray, n: int, chain: np.ndarray) -> np.ndarray:
@@ -116,7 +128,7 @@ def log_odds(m: Linear, rows: np.ndarray, ids: np.ndarray, n: int, chain: np.nda
 def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> tuple[list[Linear], float]:
     """Models of the categories in order, and the last one's threshold (a probability)."""
     n, k = labels.shape
-    rows = np.repeat(np.arange(n), [len(s) for s in sets])
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     ids = np.concatenate(sets) if n else np.zeros(0, np.uint32)
     models, chain = [], np.zeros((n, 0))
     for c in range(k):
@@ -124,11 +136,9 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) ->
         out = np.zeros(n)
         for f in np.unique(folds):
             inside = folds != f
-            number = np.cumsum(inside) - 1
-            keep = inside[rows]
-            m = fit(number[rows[keep]], ids[keep], int(inside.sum()), y[inside], chain[inside])
+            m = fit(rows, ids, y, chain, inside)
             out[~inside] = log_odds(m, rows, ids, n, chain)[~inside]
-        models.append(fit(rows, ids, n, y, chain))
+        models.append(fit(rows, ids, y, chain, np.ones(n, bool)))
         chain = np.concatenate([chain, out[:, None]], 1)
     threshold = 1.1  # no label, nothing is toxic
     if n and 0 < labels[:, -1].sum() < n:
@@ -190,7 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     found = [first[i] for i in sorted(first)]
     y = np.array([[r[n] for n in names] for r in found], np.int64).reshape(len(found), len(names))
     folds = np.array([xxhash.xxh32_intdigest(str(r.id)) % FOLDS for r in found], np.int64)
-    models, threshold = fit_chain([np.frombuffer(r.features, np.uint32) for r in found], y, folds)
+    sets = [np.frombuffer(r.features, np.uint32) for r in found]
+    del found, first
+    models, threshold = fit_chain(sets, y, folds)
     return [m.parts() for m in models], names, threshold
 
 

@@ -135,7 +135,10 @@ def parse(raw: bytes) -> dict:
 
 def train_dictionary(pages: DataFrame, id_col: str, html_col: str) -> bytes:
     """A dictionary from a bounded sample; a plain one where the sample is too small to train on."""
-    sample = pages.select(F.col(id_col).alias("id"), F.substring(F.col(html_col), 1, SAMPLE_BYTES).alias("html")).orderBy(F.xxhash64("id"), "id", "html").limit(SAMPLE_PAGES).collect()
+    ids = pages.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES)
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(html_col), 1, SAMPLE_BYTES).alias("html"))
+    # repeated identifiers may bring more rows than SAMPLE_PAGES; a second limit holds the bound
+    sample = rows.join(F.broadcast(ids.distinct()), "id").orderBy(F.xxhash64("id"), "id", "html").limit(SAMPLE_PAGES).collect()
     texts = [record(r.id, None, len(raw), hashlib.sha1(raw).hexdigest(), raw) for r in sample for raw in [(r.html or "").encode()]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
