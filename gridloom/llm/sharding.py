@@ -1,6 +1,6 @@
 """Uniform sharding by a hypergeometric communication matrix.
 
-The rows lie in source partitions.  Entry (p, s) of the matrix says how many rows go from partition p to shard s; the rows
+The rows lie in source partitions, by a hash of identifier and text.  Entry (p, s) of the matrix says how many rows go from partition p to shard s; the rows
 of the matrix are drawn from the exact multivariate hypergeometric law given what each shard still lacks, so shard sizes are
 exact (at most one apart) and every assignment is equally likely.  Each partition permutes its rows and deals them out by its
 row of the matrix; after the exchange each shard permutes again, in sub-ranges of a second random key, so no task sorts a shard
@@ -82,14 +82,14 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 20240229, id_co
     ranges = max(1, -(-n // (shards * SOURCE_ROWS)), min(16, n // (shards * 64)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("bytes"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
-    rows = rows.withColumn("source", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(sources)))
-    found = dict(docs.groupBy(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(sources)).alias("source")).count().collect())
+    rows = rows.withColumn("source", F.pmod(F.xxhash64(F.lit(seed), "id", "crc"), F.lit(sources)))
+    found = dict(rows.groupBy("source").count().collect())  # at most ``sources`` numbers
     keys = sorted(found)
     matrix = communication_matrix([found[k] for k in keys], shards, seed)
     dealt = spark.createDataFrame([(k, [int(x) for x in c]) for k, c in zip(keys, matrix.cumsum(1), strict=True)], "source long, upto array<long>")
     local = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "crc", "bytes")
     rows = rows.withColumn("k", F.row_number().over(local) - 1).join(dealt, "source")
-    mixed = F.xxhash64(F.lit(seed + 2), "id")
+    mixed = F.xxhash64(F.lit(seed + 2), "id", "crc", "k")  # equal rows part here too
     rows = rows.select("id", "bytes", "crc", F.expr("size(filter(upto, x -> x <= k))").alias("shard"), F.pmod(F.shiftrightunsigned(mixed, 20), F.lit(ranges)).alias("part"), mixed.alias("mixed"))
     rows = common.materialise(rows, "dealt")
     sizes = rows.groupBy("shard", "part").count()
