@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted one after another: each is a logistic regression on the presence of words and word beginnings and on
-the log-odds of all categories before it.  For training, those log-odds are out-of-fold predictions (``FOLDS`` folds, features
+the probabilities of all categories before it.  For training, those probabilities are out-of-fold predictions (``FOLDS`` folds, features
 chosen and weights fitted without the fold), so a later model never sees how an earlier one remembers its training rows; for
 prediction the earlier models are fitted on all rows of the sample.  The last category decides; its threshold is the one with the
 best F1 on the out-of-fold predictions.
@@ -50,7 +50,7 @@ def _extract(batches):
 
 
 class Linear:
-    """Logistic regression on the chosen features, the chain's log-odds and a constant."""
+    """Logistic regression on the chosen features, the chain's probabilities and a constant."""
 
     def __init__(self, chosen: np.ndarray, weights: np.ndarray, chain: np.ndarray, bias: float):
         self.chosen, self.weights, self.chain, self.bias = chosen, weights, chain, bias
@@ -121,8 +121,9 @@ def fit(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, chain: np.ndarray, ins
     return Linear(chosen, w[:k] * scale, w[k:-1], float(w[-1]))
 
 
-def log_odds(m: Linear, rows: np.ndarray, ids: np.ndarray, n: int, chain: np.ndarray) -> np.ndarray:
-    return np.clip(dense(rows, ids, n, m.chosen) @ m.weights + chain @ m.chain + m.bias, -30, 30)
+def probability(m: Linear, x: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """Of each row: presence of the model's features, probabilities of the categories before."""
+    return 1 / (1 + np.exp(-np.clip(x @ m.weights + chain @ m.chain + m.bias, -30, 30)))
 
 
 def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> tuple[list[Linear], float]:
@@ -137,12 +138,12 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) ->
         for f in np.unique(folds):
             inside = folds != f
             m = fit(rows, ids, y, chain, inside)
-            out[~inside] = log_odds(m, rows, ids, n, chain)[~inside]
+            out[~inside] = probability(m, dense(rows, ids, n, m.chosen)[~inside], chain[~inside])
         models.append(fit(rows, ids, y, chain, np.ones(n, bool)))
         chain = np.concatenate([chain, out[:, None]], 1)
     threshold = 1.1  # no label, nothing is toxic
     if n and 0 < labels[:, -1].sum() < n:
-        p, y = 1 / (1 + np.exp(-chain[:, -1])), labels[:, -1]
+        p, y = chain[:, -1], labels[:, -1]
         by = np.argsort(-p, kind="stable")
         hits, taken = np.cumsum(y[by]), np.arange(1, n + 1)
         f1 = 2 * hits / (taken + y.sum())
@@ -179,10 +180,8 @@ def _score(shared):
                     x[k, list(found)] = 1
             chain = np.zeros((len(texts), 0))
             for m, at in zip(models, place, strict=True):
-                odds = np.clip(x[:, at] @ m.weights + chain @ m.chain + m.bias, -30, 30)
-                chain = np.concatenate([chain, odds[:, None]], 1)
-            p = 1 / (1 + np.exp(-chain))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] >= threshold)], names=["id", *(f"p_{n}" for n in names), "toxic"])
+                chain = np.concatenate([chain, probability(m, x[:, at], chain)[:, None]], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(chain[:, k]) for k in range(len(names))), pa.array(chain[:, -1] >= threshold)], names=["id", *(f"p_{n}" for n in names), "toxic"])
 
     return task
 
