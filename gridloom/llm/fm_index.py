@@ -74,7 +74,7 @@ def suffix_order(symbols: np.ndarray, top: int) -> np.ndarray:
     open_ = symbols != 0  # no boundary so far
     for k in range(1, span):
         follow = np.zeros(n, np.int64)
-        follow[: n - k] = symbols[k:]
+        follow[: max(0, n - k)] = symbols[k:]
         follow[~open_] = 0
         key = (key << width) | follow
         open_ = open_ & (follow != 0)
