@@ -20,24 +20,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
-def _keep(docs: DataFrame, decided: DataFrame, key: list) -> DataFrame:
-    """Rows of ``docs`` whose identifier (and further key) is among the kept ones, once each."""
-    chosen = decided.where("kept").select(*(F.col(c).alias(f"_{c}") for c in key)).distinct()
-    return docs.join(chosen, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_semi")
+def _keep(docs: DataFrame, decided: DataFrame, **keys) -> DataFrame:
+    """Rows of ``docs`` whose keys (name: column of docs) are among the kept ones.  Columns of any name stay as they are."""
+    chosen = decided.where("kept").select(*keys).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), *(c.alias(f"_{n}") for n, c in keys.items()))
+    return rows.join(chosen, [F.col(f"_{n}").eqNullSafe(F.col(n)) for n in keys], "left_semi")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest identifier stays."""
-    decided = exact_dedup.exact_dedup(docs).select("doc_id", "kept", "text_sha256")
-    keyed = docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    once = Window.partitionBy("doc_id", "text_sha256").orderBy("lang", "source", "n_chars")
-    kept = _keep(keyed, decided, ["doc_id", "text_sha256"]).withColumn("_k", F.row_number().over(once))
-    return kept.where("_k = 1").drop("_k", "text_sha256")
+    decided = exact_dedup.exact_dedup(docs)
+    kept = _keep(docs, decided, doc_id=F.col("doc_id"), text_sha256=F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    once = Window.partitionBy("_doc_id", "_text_sha256").orderBy(*(F.col(f"_row.{c}") for c in ("text", "lang", "source", "n_chars")))
+    return kept.withColumn("_k", F.row_number().over(once)).where("_k = 1").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: shingles of five words, similarity 0.8 or more."""
-    return _keep(docs, near_dedup.near_dedup(docs, shingle=5, percent=80), ["doc_id"])
+    return _keep(docs, near_dedup.near_dedup(docs, shingle=5, percent=80), doc_id=F.col("doc_id")).select("_row.*")
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
