@@ -38,8 +38,10 @@ ROWS, BANDS, CHECKS, BATCH = 6, 40, 64, 16
 MISS = 1e-7
 #: Identifiers up to this number (8 MB) are broadcast to pick texts; beyond it the join is shuffled.
 BROADCAST_IDS = 1 << 20
-#: Components of one key up to which their pairs are listed; members of a block in step 6.
-LISTED, BLOCK = 64, 2048
+#: Components of one key up to which their pairs are listed; members and shingles of a block in step 6.
+LISTED, BLOCK, BLOCK_SHINGLES = 64, 2048, 1 << 21
+#: Bytes of keys in a bucket, about.
+BUCKET_BYTES = 32 << 20
 #: Documents of a map block.
 FLUSH = 4096
 
@@ -308,11 +310,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    buckets = 2 * common.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = common.materialise(rows.mapInArrow(_describe(shingle), "id long, n long, set_key binary, bands binary, checks binary"), "minhash")
-    classes = described.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min_by(F.struct("bands", "checks"), "id").alias("s"), F.min("id").alias("id"))
-    classes = common.materialise(classes.select("id", "set_key", "s.bands", "s.checks"), "classes")
+    classes = described.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min_by(F.struct("bands", "checks", "n"), "id").alias("s"), F.min("id").alias("id"))
+    classes = common.materialise(classes.select("id", "set_key", "s.bands", "s.checks", "s.n"), "classes")
+    buckets = max(2 * common.partitions(spark), -(-16 * BANDS * classes.count() // BUCKET_BYTES))
     stars = classes.select("id", "bands").mapInArrow(_send_keys(buckets), "bucket int, keys binary, hubs binary, others binary")
     stars = common.materialise(stars.groupBy("bucket").applyInArrow(_join_stars, "key long, a long, b long"), "stars")
     pairs = stars.select("a", "b").distinct()
@@ -334,7 +336,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = _with_comp(_with_comp(survivors, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
     links = links.union(verified(apart))
     labels = components(links)
-    more = common.materialise(_within_keys(stars, pairs, labels, rows, shingle, percent), "linked")
+    more = common.materialise(_within_keys(stars, pairs, labels, rows, classes.select("id", "n"), shingle, percent), "linked")
     if more.limit(1).count():
         labels = components(links.union(more))
     member = described.select("id", "n", "set_key").join(classes.select(F.col("set_key").alias("of"), F.col("id").alias("rep")), F.col("set_key") == F.col("of"), "left")
@@ -349,7 +351,7 @@ def _pairs_of(table: pa.Table) -> pa.Table:
     return pa.table({"p": pa.array(comps[i]), "q": pa.array(comps[j])})
 
 
-def _within_keys(stars: DataFrame, pairs: DataFrame, labels: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _within_keys(stars: DataFrame, pairs: DataFrame, labels: DataFrame, rows: DataFrame, weights: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between members of one key whose components differ so far and that no star compared."""
     spark = stars.sparkSession
     apart = common.materialise(_with_comp(_with_comp(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb"), "apart")
@@ -376,8 +378,15 @@ def _within_keys(stars: DataFrame, pairs: DataFrame, labels: DataFrame, rows: Da
     queries = members(listed.select("gid", F.col("small").alias("of")).distinct())
     # keys with very many components: all members, by the key itself
     crowd = ends.join(keys.where(f"n > {LISTED}").select("key"), "key").select(F.col("key").alias("gid"), "id", "comp").distinct()
-    base = common.materialise(base.union(crowd).withColumn("query", F.lit(False)).union(queries.union(crowd).withColumn("query", F.lit(True))), "contesters")
-    blocks = common.materialise(base.groupBy("gid").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("query") == q, 1).otherwise(0)) / BLOCK)).cast("int").alias(n) for n, q in (("base_blocks", False), ("query_blocks", True)))), "blocks")  # a plain join below, which may be split where a gid is hot
+    base = base.union(crowd).withColumn("query", F.lit(False)).union(queries.union(crowd).withColumn("query", F.lit(True)))
+    base = common.materialise(base.join(weights, "id"), "contesters")
+
+    def needed(query: bool):
+        """Blocks of a gid's members, bounded by their number and by their shingles."""
+        of = lambda c: F.sum(F.when(F.col("query") == query, c).otherwise(0))
+        return F.greatest(F.lit(1), F.ceil(of(F.lit(1)) / BLOCK), F.ceil(of(F.col("n")) / BLOCK_SHINGLES)).cast("int")
+
+    blocks = common.materialise(base.groupBy("gid").agg(needed(False).alias("base_blocks"), needed(True).alias("query_blocks")), "blocks")  # a plain join below, which may be split where a gid is hot
     own = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("query_blocks")).otherwise(F.col("base_blocks"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("base_blocks")).otherwise(F.col("query_blocks")) - 1))
     placed = base.join(blocks, "gid").select("gid", "id", "comp", "query", own.alias("own"), other.alias("other"))
