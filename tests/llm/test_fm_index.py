@@ -55,3 +55,10 @@ def test_long_repeats_are_ordered():
     end = lambda i: next(j for j in range(i, len(symbols)) if symbols[j] == 0)
     keys = [(*symbols[i : end(i)], 0) for i in order]
     assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("n", range(1, 12))
+def test_tiny_shards(n):
+    symbols = np.array([1] * (n - 1) + [0], np.int32)
+    low, high = FMIndex(symbols, 1).search(np.array([[1, 1, 0]]), np.array([2]))
+    assert high[0] - low[0] == max(0, n - 2)
