@@ -35,8 +35,8 @@ from . import common
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block; bytes of keys in a bucket, about.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
 _LAST = np.iinfo(np.int64).max
@@ -328,9 +328,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    buckets = 2 * common.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = common.materialise(rows.mapInArrow(_pack, "block long, ids array<long>, sizes binary, texts binary"), "blocks")
+    buckets = max(2 * common.partitions(spark), -(-3 * BLOCK_BYTES * blocks.count() // BUCKET_BYTES))  # 16 bytes a window, a word's text has 5 or more
+    blocks = blocks.where("block IS NOT NULL")  # both joins below then take one and the same exchange of the blocks
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     anchors = blocks.mapInArrow(_send_anchors(buckets), "bucket int, block long, keys binary, several binary")
     shared = anchors.groupBy("bucket").applyInArrow(_match_anchors, "block long, bucket int, shared binary")
