@@ -3,7 +3,7 @@
 An archive is a skippable frame that holds the dictionary, then one frame for each record.  Spark's text writer puts the frames
 into files on any file system, with its commit protocol; between two of them it writes a separator, which is an empty
 skippable frame, so every Zstandard reader passes over it.  The reader gets whole files from Spark's binary source (archives
-are as large as one task's records), loads the dictionary from the leading frame, cuts the file into frames by their block
+hold about 128 MB of payload), loads the dictionary from the leading frame, cuts the file into frames by their block
 headers, decodes one frame for each record and validates versions, mandatory headers, lengths and digests.
 
 Of equal payloads of at least ``MIN_REVISIT`` bytes, the record with the largest identifier is a response and the others revisit
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_REVISIT = 1000
+#: Pages and megabytes of an Arrow batch; bytes of payload in an archive, about.
+BATCH, ARCHIVE_BYTES = (500, 4), 128 << 20
 #: Pages the dictionary is trained on (those with the smallest hash of their identifier), bytes of each, bytes of the dictionary.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 16_384, 65_536
 
@@ -183,7 +185,7 @@ def _archive(dictionary):
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write one record per page to archives ``*.warc.zst`` under ``path``."""
     spark = pages.sparkSession
-    common.bounded_batches(spark)
+    common.bounded_batches(spark, *BATCH)
     dictionary = spark.sparkContext.broadcast(train_dictionary(pages, id_col, html_col))  # DICTIONARY_BYTES at most
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     named = rows.where(F.octet_length("html") >= MIN_REVISIT).select("id", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("size"))
@@ -193,6 +195,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     a, b = responses.alias("a"), revisits.withColumnRenamed("id", "of").withColumnRenamed("sha", "of_sha").alias("b")
     chosen = a.join(b, F.expr("a.id <=> b.of AND a.sha = b.of_sha"), "left")
     records = chosen.select("id", "url", "digest", "size", "refers_to", F.expr("CASE WHEN refers_to IS NULL THEN frame END").alias("frame"))
+    size = rows.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
+    records = records.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES)))  # no crowd of tiny archives
     records.mapInArrow(_archive(dictionary), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
     _rename(spark, path)
 
@@ -235,7 +239,7 @@ def _reader(names):
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
-    common.bounded_batches(spark)
+    common.bounded_batches(spark, *BATCH)
     names = [n for n in _FIELDS if payloads or n != "payload"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
     return files.mapInArrow(_reader(names), ", ".join(f"{n} {_FIELDS[n][0]}" for n in names))
