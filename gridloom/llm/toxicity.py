@@ -6,8 +6,8 @@ chosen and weights fitted without the fold), so a later model never sees how an
 prediction the earlier models are fitted on all rows of the sample.  The last category decides; its threshold is the one with the
 best F1 on the out-of-fold predictions.
 
-The models are fitted on a bounded sample, ``SAMPLE`` labelled documents with the smallest hash of their identifier; every document
-is scored on its whole text, in place: no document moves.
+The models are fitted on a bounded sample: the labelled documents with the smallest hashes of their identifiers, up to ``SAMPLE`` and
+up to ``SAMPLE_BYTES`` of text (the first is always in).  Each document is counted and fitted on as a whole; every document is scored on its whole text, in place: no document moves.
 
 Defined results: null and empty texts have no features and get the base rates; labels that are null are not learned from, and of
 labels repeated for a document the largest counts; where no labels are left every probability is 0 and nothing is toxic; each
@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled documents to fit on, folds, features of a model, lengths of word beginnings.
-SAMPLE, FOLDS, FEATURES, STARTS = 8_000, 3, 600, (5, 6, 7)
+#: Labelled documents to fit on, bytes of their texts, folds, features of a model, lengths of word beginnings.
+SAMPLE, SAMPLE_BYTES, FOLDS, FEATURES, STARTS = 8_000, 64 << 20, 3, 600, (5, 6, 7)
 _BITS = (1 << 21) - 1
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -186,13 +186,17 @@ def _score(shared):
     return task
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES):
     """(models, names, threshold) from a bounded sample of the labelled documents."""
     common.bounded_batches(docs.sparkSession)
     names = list(categories)
     marked = labels.select(F.col(id_col).alias("id"), *(c.cast("int").alias(n) for n, c in categories.items())).dropna()
     marked = marked.groupBy("id").agg(*(F.max(n).alias(n) for n in names)).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")  # ``sample`` rows at most
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sizes = rows.select("id", F.octet_length("text").alias("size")).join(F.broadcast(marked), "id").groupBy("id", *names).agg(F.max("size").alias("size"))  # ``sample`` rows at most
+    before = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < sample_bytes).drop("size", "before")
+    rows = rows.join(F.broadcast(chosen), "id")
     kind = docs.schema[id_col].dataType.simpleString()
     found = rows.select("id", *names, "text").mapInArrow(_extract, f"id {kind}, {', '.join(f'{n} int' for n in names)}, features binary").collect()
     first = {r.id: r for r in sorted(found, key=lambda r: (r.id, r.features), reverse=True)}  # one row for each identifier

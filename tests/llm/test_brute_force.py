@@ -288,3 +288,11 @@ def test_an_empty_benchmark_changes_nothing(spark, docs, rows):
     assert collected(decontaminate.clean(docs, none)) == sorted(rows, key=repr)
     assert not re.search("True", str(collected(decontaminate.digest(decontaminate.find_contamination(docs, none)).select("contaminated"))))
     assert docs.where(F.col("doc_id").isNull()).count() == 3
+
+
+def test_the_sample_is_bounded_by_bytes(spark):
+    rows = toxic_corpus(400, 3)
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    fitted = lambda b: sum(len(m[0]) for m in toxicity.train(docs, labels, toxicity.chain_of_labels(), sample_bytes=b)[0])
+    assert fitted(1) == 0 < fitted(1 << 20)
