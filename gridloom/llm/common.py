@@ -67,7 +67,7 @@ def executor_tmp() -> str:
     return os.environ.get("TMPDIR") or tempfile.gettempdir()
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
     """Keep Arrow batches small: texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)

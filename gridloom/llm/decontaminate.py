@@ -79,8 +79,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[new], reach[last]], 1).ravel().astype(np.int32)
 
 
-def _scan(shared, limit):
-    """The task: batches with columns id, text, n_words, spans, items; spans and items gain what this block finds."""
+def _scan(shared, limit, text: str = "text", finish=None):
+    """The task: batches with a column of texts, and last n_words, spans, items; spans and items gain what this block finds.
+
+    ``finish`` makes the result of such a batch and its spans; all other columns are only passed on.
+    """
 
     def task(batches):
         vocabulary, phrases, lengths, items = shared.value
@@ -111,16 +114,18 @@ def _scan(shared, limit):
                         old = np.array(spans[j], np.int64)
                         spans[j] = merged(np.concatenate([old[::2], start[a:b]]), np.concatenate([old[1::2], start[a:b] + lengths[which[a:b]]]))
                         named[j] = sorted({*named[j], *(x for w in np.unique(which[a:b]) for x in items[w])})
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("text"), pa.array([len(x) - 1 for x in parts], pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.string()))],
-                    names=["id", "text", "n_words", "spans", "items"],
-                )
+                kept = batch.columns[:-3]
+                if finish is not None:
+                    yield finish(kept, spans, batch.schema.names[:-3])
+                    continue
+                found = [pa.array([len(x) - 1 for x in parts], pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*kept, *found], names=batch.schema.names)
 
         held, size = [], 0
         for batch in batches:
             parts = []
-            for text in batch.column("text").to_pylist():
-                found = words(text)
+            for raw in batch.column(text).to_pylist():
+                found = words(raw)
                 part = np.zeros(len(found) + 1, np.int32)  # ends with a boundary
                 part[:-1] = np.fromiter(map(known.__getitem__, found), np.int32, len(found))
                 parts.append(part)
@@ -177,38 +182,37 @@ def without_spans(text: str, spans) -> str:
 
 
 def _cut(text_at: int, size_at: int | None):
-    """The task: whole rows with a last column of spans; the text and its size change where there are any."""
-
-    def task(batches):
-        for batch in batches:
-            *columns, spans = batch.columns
-            hit = [k for k, s in enumerate(spans) if len(s)]
-            if hit:
-                texts = columns[text_at].to_pylist()
+    """Columns and spans to a batch whose texts, and their sizes, change where there are spans."""
+
+    def finish(columns: list, spans: list, names: list[str]):
+        if hit := [k for k, s in enumerate(spans) if len(s)]:
+            texts = columns[text_at].to_pylist()
+            for k in hit:
+                texts[k] = without_spans(texts[k], list(spans[k]))
+            columns[text_at] = pa.array(texts, pa.string())
+            if size_at is not None:
+                sizes = columns[size_at].to_pylist()
                 for k in hit:
-                    texts[k] = without_spans(texts[k], spans[k].as_py())
-                columns[text_at] = pa.array(texts, pa.string())
-                if size_at is not None:
-                    sizes = columns[size_at].to_pylist()
-                    for k in hit:
-                        sizes[k] = len(texts[k])
-                    columns[size_at] = pa.array(sizes, columns[size_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+                    sizes[k] = len(texts[k])
+                columns[size_at] = pa.array(sizes, columns[size_at].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return task
+    return finish
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` with the benchmark's passages cut out of their texts, and their sizes set to what is left."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    row = F.struct(*docs.columns)
-    kind = T.StructType([T.StructField("id", docs.schema), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", ITEMS)])
-    found = docs.select(row.alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast(ITEMS).alias("items"))
-    for shared in _shared_blocks(spark, benchmark, "item_id", "text", window):
-        found = found.mapInArrow(_scan(shared, SHARD_WORDS), kind)
-    names = docs.columns
-    return found.select("id.*", "spans").mapInArrow(_cut(names.index(text_col), names.index(size_col) if size_col in names else None), docs.schema)
+    names, numbered = docs.columns, [f"c{k}" for k in range(len(docs.columns))]
+    text = numbered[names.index(text_col)]
+    cut = _cut(names.index(text_col), names.index(size_col) if size_col in names else None)
+    found = docs.toDF(*numbered).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast(ITEMS)})
+    plain = T.StructType(found.schema.fields[:-3])
+    *first, last = _shared_blocks(spark, benchmark, "item_id", "text", window)
+    for shared in first:
+        found = found.mapInArrow(_scan(shared, SHARD_WORDS, text), found.schema)
+    return found.mapInArrow(_scan(last, SHARD_WORDS, text, cut), plain).toDF(*names)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -51,7 +51,7 @@ _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -171,7 +171,7 @@ def _score(shared):
                 for w in words(text):
                     hit = known.get(w)
                     if hit is None:
-                        if len(known) > 300_000:
+                        if len(known) > 150_000:
                             known.clear()
                         hit = known[w] = tuple(number[f] for f in features(w) if f in number)
                     if hit:
