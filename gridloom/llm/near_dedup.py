@@ -191,7 +191,7 @@ def _send_keys(buckets: int):
 
 
 def _join_stars(table: pa.Table) -> pa.Table:
-    """Of one bucket: all star edges, those among the blocks' hubs too."""
+    """Of one bucket: all star edges, those among the blocks' hubs too, each with the number of its key's edges."""
     get = lambda name, rows, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]] or [np.zeros(0, kind)])
     rows = table.to_pydict()
     made = [k for k, x in enumerate(rows["others"]) if x is not None]
@@ -200,7 +200,8 @@ def _join_stars(table: pa.Table) -> pa.Table:
     done, sent = pick(made), pick(open_)
     edges, _ = _stars(get("keys", sent, np.uint64), get("hubs", sent, np.int64))
     parts = [np.concatenate([x, get(n, done, k)]) for x, n, k in zip(edges, ("keys", "hubs", "others"), (np.uint64, np.int64, np.int64), strict=True)]
-    return pa.table({"key": pa.array(parts[0].view(np.int64)), "a": pa.array(parts[1]), "b": pa.array(parts[2])})
+    _, of, count = np.unique(parts[0], return_inverse=True, return_counts=True)  # a key is in one bucket
+    return pa.table({"key": pa.array(parts[0].view(np.int64)), "a": pa.array(parts[1]), "b": pa.array(parts[2]), "edges": pa.array(count[of])})
 
 
 def _prune(least: list[int]):
@@ -316,7 +317,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = common.materialise(classes.select("id", "set_key", "s.bands", "s.checks", "s.n"), "classes")
     buckets = max(2 * common.partitions(spark), -(-16 * BANDS * classes.count() // BUCKET_BYTES))
     stars = classes.select("id", "bands").mapInArrow(_send_keys(buckets), "bucket int, keys binary, hubs binary, others binary")
-    stars = common.materialise(stars.groupBy("bucket").applyInArrow(_join_stars, "key long, a long, b long"), "stars")
+    stars = common.materialise(stars.groupBy("bucket").applyInArrow(_join_stars, "key long, a long, b long, edges long"), "stars")
     pairs = stars.select("a", "b").distinct()
     checks = classes.select("id", "checks")
     known = pairs.join(checks.select(F.col("id").alias("a"), F.col("checks").alias("checks_a")), "a").join(checks.select(F.col("id").alias("b"), F.col("checks").alias("checks_b")), "b")
@@ -354,10 +355,10 @@ def _pairs_of(table: pa.Table) -> pa.Table:
 def _within_keys(stars: DataFrame, pairs: DataFrame, labels: DataFrame, rows: DataFrame, weights: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between members of one key whose components differ so far and that no star compared."""
     spark = stars.sparkSession
-    apart = common.materialise(_with_comp(_with_comp(stars, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb"), "apart")
+    several = stars.where("edges > 1")  # a star of one edge has been compared
+    apart = common.materialise(_with_comp(_with_comp(several, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb"), "apart")
     ends = apart.select("key", F.col("a").alias("id"), F.col("ca").alias("comp")).union(apart.select("key", "b", "cb"))
-    wide = ends.groupBy("key").agg(F.approx_count_distinct("comp", 0.05).alias("n"), F.count("*").alias("ends"))
-    keys = common.materialise(wide.where("ends > 2"), "keys")  # a star of one edge has been compared
+    keys = common.materialise(ends.groupBy("key").agg(F.approx_count_distinct("comp", 0.05).alias("n")), "keys")
     few = ends.join(keys.where(f"n <= {LISTED}").select("key"), "key").select("key", "comp").distinct()
     listed = few.groupBy("key").applyInArrow(_pairs_of, "p long, q long").distinct()
     sizes = labels.groupBy("comp").agg(F.count("*").alias("size"))

@@ -122,6 +122,30 @@ def test_near_dedup_in_crowded_keys(spark, monkeypatch):
     assert collected(got) == sorted(brute.near(rows, 2), key=repr)
 
 
+def hidden_links(n):
+    """Trios h, x, y with h-x and x-y linked and h-y just not, h the smallest in every band that x and y share."""
+    a, b = near_dedup._functions()
+    rows, seed = [], 0
+    while len(rows) < 3 * n:
+        seed += 1
+        x = [f"s{seed}w{k}" for k in range(101)]  # 100 pairs of words
+        h, y = x[:-1], [f"s{seed}v{k}" for k in range(11)] + x[11:]
+        trio = [" ".join(w) for w in (h, x, y)]
+        of = [brute.shingles(t, 2) for t in trio]
+        assert brute.linked(of[0], of[1]) and brute.linked(of[1], of[2]) and not brute.linked(of[0], of[2])
+        bh, bx, by = (near_dedup.band_keys(near_dedup.minima(near_dedup.shingle_set(near_dedup._Words(), t, 2), a, b)) for t in trio)
+        if (bx == by).any() and (bh == bx)[bx == by].all():
+            rows += [(len(rows) + k, t) for k, t in enumerate(trio)]
+    return rows
+
+
+def test_near_dedup_links_past_the_hub(spark):
+    """Of a key's two star edges one is within a component: the other pair of that key is verified all the same."""
+    rows = hidden_links(5)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), shingle=2)
+    assert collected(got) == sorted(brute.near(rows, 2), key=repr)
+
+
 def test_posterior_bound_is_the_chosen_probability():
     from math import comb
 
