@@ -356,8 +356,9 @@ def _within_keys(stars: DataFrame, pairs: DataFrame, labels: DataFrame, rows: Da
     """Links between members of one key whose components differ so far and that no star compared."""
     spark = stars.sparkSession
     several = stars.where("edges > 1")  # a star of one edge has been compared
-    apart = common.materialise(_with_comp(_with_comp(several, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb"), "apart")
-    ends = apart.select("key", F.col("a").alias("id"), F.col("ca").alias("comp")).union(apart.select("key", "b", "cb"))
+    placed = common.materialise(_with_comp(_with_comp(several.select("key", "a", "b"), labels, "a", "ca"), labels, "b", "cb"), "placed")
+    both = lambda edges: edges.select("key", F.col("a").alias("id"), F.col("ca").alias("comp")).union(edges.select("key", "b", "cb"))
+    ends = both(placed.where("ca <> cb"))
     keys = common.materialise(ends.groupBy("key").agg(F.approx_count_distinct("comp", 0.05).alias("n")), "keys")
     few = ends.join(keys.where(f"n <= {LISTED}").select("key"), "key").select("key", "comp").distinct()
     listed = few.groupBy("key").applyInArrow(_pairs_of, "p long, q long").distinct()
@@ -377,9 +378,11 @@ def _within_keys(stars: DataFrame, pairs: DataFrame, labels: DataFrame, rows: Da
 
     base = members(listed.select("gid", F.col("gid").alias("of")).distinct())
     queries = members(listed.select("gid", F.col("small").alias("of")).distinct())
-    # keys with very many components: all members, by the key itself
-    crowd = ends.join(keys.where(f"n > {LISTED}").select("key"), "key").select(F.col("key").alias("gid"), "id", "comp").distinct()
-    base = base.union(crowd).withColumn("query", F.lit(False)).union(queries.union(crowd).withColumn("query", F.lit(True)))
+    # keys with very many components: all members, by the key itself; those of its largest component are asked about only
+    crowd = common.materialise(both(placed.join(keys.where(f"n > {LISTED}").select("key"), "key")).distinct().withColumnRenamed("key", "gid"), "crowd")
+    largest = crowd.groupBy("gid", "comp").agg(F.count("*").alias("size")).groupBy("gid").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"))
+    asking = crowd.join(largest, "gid").where("comp <> largest").select("gid", "id", "comp")
+    base = base.union(crowd).withColumn("query", F.lit(False)).union(queries.union(asking).withColumn("query", F.lit(True)))
     base = common.materialise(base.join(weights, "id"), "contesters")
 
     def needed(query: bool):
@@ -390,7 +393,7 @@ def _within_keys(stars: DataFrame, pairs: DataFrame, labels: DataFrame, rows: Da
     blocks = common.materialise(base.groupBy("gid").agg(needed(False).alias("base_blocks"), needed(True).alias("query_blocks")), "blocks")  # a plain join below, which may be split where a gid is hot
     own = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("query_blocks")).otherwise(F.col("base_blocks"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("base_blocks")).otherwise(F.col("query_blocks")) - 1))
-    placed = base.join(blocks, "gid").select("gid", "id", "comp", "query", own.alias("own"), other.alias("other"))
-    placed = placed.select("gid", "id", "comp", "query", F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("j"))
+    dealt = base.join(blocks, "gid").select("gid", "id", "comp", "query", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("gid", "id", "comp", "query", F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("j"))
     texts = _texts_of(rows, base.select("id")).dropDuplicates(["id"])
-    return placed.join(texts, "id").groupBy("gid", "i", "j").applyInArrow(_verify_block(shingle, percent), "a long, b long").distinct()
+    return dealt.join(texts, "id").groupBy("gid", "i", "j").applyInArrow(_verify_block(shingle, percent), "a long, b long").distinct()

@@ -146,6 +146,14 @@ def test_near_dedup_links_past_the_hub(spark):
     assert collected(got) == sorted(brute.near(rows, 2), key=repr)
 
 
+def test_near_dedup_links_past_the_hub_of_a_crowded_key(spark, monkeypatch):
+    """Beyond LISTED components too, members that only an edge within a component holds are compared."""
+    monkeypatch.setattr(near_dedup, "LISTED", 1)
+    rows = hidden_links(5)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), shingle=2)
+    assert collected(got) == sorted(brute.near(rows, 2), key=repr)
+
+
 def test_posterior_bound_is_the_chosen_probability():
     from math import comb
 
