@@ -7,7 +7,8 @@ prediction the earlier models are fitted on all rows of the sample.  The last ca
 best F1 on the out-of-fold predictions.
 
 The models are fitted on a bounded sample: the labelled documents with the smallest hashes of their identifiers, up to ``SAMPLE`` and
-up to ``SAMPLE_BYTES`` of text (the first is always in).  Each document is counted and fitted on as a whole; every document is scored on its whole text, in place: no document moves.
+up to ``SAMPLE_BYTES`` of text (the first is always in).  Texts over 1/``LONG`` of the bytes come after all others, the shortest first, so
+none of them displaces a shorter one.  Each document is counted and fitted on as a whole; every document is scored on its whole text, in place: no document moves.
 
 Defined results: null and empty texts have no features and get the base rates; labels that are null are not learned from, and of
 labels repeated for a document the largest counts; where no labels are left every probability is 0 and nothing is toxic; each
@@ -29,6 +30,8 @@ from . import common
 
 #: Labelled documents to fit on, bytes of their texts, folds, features of a model, lengths of word beginnings.
 SAMPLE, SAMPLE_BYTES, FOLDS, FEATURES, STARTS = 8_000, 64 << 20, 3, 600, (5, 6, 7)
+#: A text over this part of the sample's bytes is a long one.
+LONG = 64
 _BITS = (1 << 21) - 1
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -194,7 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     marked = marked.groupBy("id").agg(*(F.max(n).alias(n) for n in names)).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sizes = rows.select("id", F.octet_length("text").alias("size")).join(F.broadcast(marked), "id").groupBy("id", *names).agg(F.max("size").alias("size"))  # ``sample`` rows at most
-    before = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    long = F.when(F.col("size") > sample_bytes // LONG, F.col("size")).otherwise(0)
+    before = Window.orderBy(long, F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
     chosen = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < sample_bytes).drop("size", "before")
     rows = rows.join(F.broadcast(chosen), "id")
     kind = docs.schema[id_col].dataType.simpleString()

@@ -328,3 +328,12 @@ def test_the_sample_is_bounded_by_bytes(spark):
     labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
     fitted = lambda b: sum(len(m[0]) for m in toxicity.train(docs, labels, toxicity.chain_of_labels(), sample_bytes=b)[0])
     assert fitted(1) == 0 < fitted(1 << 20)
+
+
+def test_a_long_text_displaces_no_other_from_the_sample(spark):
+    rows = toxic_corpus(400, 3)
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    first = labels.orderBy(F.xxhash64("doc_id")).first().doc_id
+    docs = spark.createDataFrame([(r[0], "ona " * 300_000 if r[0] == first else r[1]) for r in rows], "doc_id long, text string")
+    got = toxicity.score(docs, toxicity.train(docs, labels, toxicity.chain_of_labels(), sample_bytes=1 << 20)).collect()
+    assert sum(r.toxic == bool(rows[r.doc_id][3]) for r in got if r.doc_id != first) / 399 > 0.98
