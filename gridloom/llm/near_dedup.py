@@ -39,7 +39,7 @@ MISS = 1e-7
 #: Identifiers up to this number (8 MB) are broadcast to pick texts; beyond it the join is shuffled.
 BROADCAST_IDS = 1 << 20
 #: Components of one key up to which their pairs are listed; members and shingles of a block in step 6.
-LISTED, BLOCK, BLOCK_SHINGLES = 64, 2048, 1 << 21
+LISTED, BLOCK, BLOCK_SHINGLES = 64, 1024, 1 << 20
 #: Bytes of keys in a bucket, about.
 BUCKET_BYTES = 32 << 20
 #: Documents of a map block.
@@ -281,17 +281,19 @@ def _verify_block(size: int, percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp): the smallest identifier of each linked document's component."""
+    """A written table (id, was, comp): the smallest identifier of each linked document's component."""
     spark = links.sparkSession
     both = common.materialise(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct(), "links")
     labels = common.materialise(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("y")).select("id", F.least("id", "y").alias("comp")), "labels")
     while True:
-        near = both.join(labels, both["y"] == labels["id"]).groupBy("x").agg(F.min("comp").alias("other"))
+        near = both.join(labels.select("id", "comp"), both["y"] == labels["id"]).groupBy("x").agg(F.min("comp").alias("other"))
         lower = labels.join(near, labels["id"] == near["x"]).select("id", F.col("comp").alias("was"), F.least("comp", "other").alias("comp"))
         up = labels.select(F.col("id").alias("root"), F.col("comp").alias("above"))
         new = common.materialise(lower.join(up, lower["comp"] == up["root"]).select("id", "was", F.least("comp", "above").alias("comp")), "labels")
-        labels = new.select("id", "comp")
+        common.release(labels)
+        labels = new
         if not new.where("comp <> was").limit(1).count():
+            common.release(both)
             return labels
 
 
@@ -309,8 +311,18 @@ def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
+    common.bounded_batches(docs.sparkSession)
+    with common.temporary(docs.sparkSession) as kept:
+        described, classes, labels = _linked_components(docs, id_col, text_col, shingle, percent)
+        kept += [described, classes, labels]
+    member = described.select("id", "n", "set_key").join(classes.select(F.col("set_key").alias("of"), F.col("id").alias("rep")), F.col("set_key") == F.col("of"), "left")
+    found = _with_comp(member.withColumn("rep", F.coalesce("rep", "id")), labels, "rep", "component_id")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _linked_components(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: each row's description, the classes, the components of those that are linked."""
     spark = docs.sparkSession
-    common.bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = common.materialise(rows.mapInArrow(_describe(shingle), "id long, n long, set_key binary, bands binary, checks binary"), "minhash")
     classes = described.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min_by(F.struct("bands", "checks", "n"), "id").alias("s"), F.min("id").alias("id"))
@@ -340,9 +352,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = common.materialise(_within_keys(stars, pairs, labels, rows, classes.select("id", "n"), shingle, percent), "linked")
     if more.limit(1).count():
         labels = components(links.union(more))
-    member = described.select("id", "n", "set_key").join(classes.select(F.col("set_key").alias("of"), F.col("id").alias("rep")), F.col("set_key") == F.col("of"), "left")
-    found = _with_comp(member.withColumn("rep", F.coalesce("rep", "id")), labels, "rep", "component_id")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return described, classes, labels
 
 
 def _pairs_of(table: pa.Table) -> pa.Table:
