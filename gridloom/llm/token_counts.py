@@ -1,10 +1,15 @@
 """Unigram token counts by dynamic programming over a trie of pre-tokens.
 
-The pieces of a SentencePiece file and their stored scores are taken as a unigram model: the tokens of a text are the pieces of
-its best segmentation, of equal ones that with the longest last piece; characters without a piece cost their UTF-8 bytes (byte
-fallback).  No piece has a space mark after another character, so texts fall into pre-tokens (space marks, then other characters)
-that are segmented apart.  A task inserts each distinct pre-token into a trie; the best score at a node depends on the path to it alone, so it
-is computed once for all pre-tokens that share the prefix, and the count at a pre-token's last node is stored.  Documents never move.
+The tokens of a text are the pieces of its most probable segmentation under a unigram model, of equal ones that with the longest
+last piece; characters without a piece cost their UTF-8 bytes (byte fallback).  The pieces are those of a SentencePiece file.  The
+only public file is a BPE one, whose scores are merge ranks and no log-probabilities, and tokenizers are never trained here.  So the
+model follows from the file by a law: the piece of rank r has a probability in proportion to 1 / (r + ``SHIFT``), Zipf's law in
+Mandelbrot's form.  A unigram file brings its own log-probabilities (``stored``).
+
+No piece has a space mark after another character, so texts fall into pre-tokens (space marks, then other characters) that are
+segmented apart.  A task inserts each distinct pre-token into a trie.  The best score at a node (its forward score) depends on the
+path to it alone, so it is computed once for all pre-tokens that share the prefix, and the count at a pre-token's last node is
+stored.  An automaton over the pieces says which of them end at a node.  Documents never move.
 
 Defined results: null and empty texts have no tokens; each row gets its own result, repeated or without identifier; an empty table
 gives no rows; other columns are ignored.  A pre-token over ``LONG`` characters is segmented by the same recurrence without the trie.
@@ -12,7 +17,9 @@ gives no rows; other columns are ignored.  A pre-token over ``LONG`` characters
 
 from __future__ import annotations
 
+import math
 import re
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,23 +31,57 @@ SPACE = "▁"
 #: Trie nodes a task keeps; the length from which a pre-token isn't put into the trie.
 NODES, LONG = 1_000_000, 200
 UNKNOWN_PENALTY = 10.0
+#: Mandelbrot's shift of the ranks.
+SHIFT = 2.7
 
 _PRE_TOKEN = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
 
 
 class Pieces:
-    """Pieces and scores of a SentencePiece file."""
+    """Pieces of a SentencePiece file, their log-probabilities, and the automaton that finds those which end at a place."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, stored: bool = False):
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [i for i in range(p.get_piece_size()) if not (p.is_unknown(i) or p.is_control(i) or p.is_byte(i) or p.is_unused(i))]
-        self.score = {p.id_to_piece(i): p.get_score(i) for i in normal}
-        self.longest = max(map(len, self.score))
+        ranked = sorted(normal, key=lambda i: (-p.get_score(i), i))
+        total = math.fsum(1 / (r + SHIFT) for r in range(1, len(ranked) + 1))
+        self.score = {p.id_to_piece(i): p.get_score(i) if stored else -math.log((r + SHIFT) * total) for r, i in enumerate(ranked, 1)}
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         if any(SPACE in x.lstrip(SPACE) for x in self.score):
             raise ValueError("a piece goes over a space mark")
+        self._link()
+
+    def _link(self) -> None:
+        """States are the pieces' prefixes; ``ends`` has the (length, score) of each piece that ends in a state, the longest first."""
+        self.steps: list[dict[str, int]] = [{}]
+        self.ends: list[tuple] = [()]
+        for piece, score in self.score.items():
+            at = 0
+            for c in piece:
+                if c not in self.steps[at]:
+                    self.steps[at][c] = len(self.steps)
+                    self.steps.append({})
+                    self.ends.append(())
+                at = self.steps[at][c]
+            self.ends[at] = ((len(piece), score),)
+        self.shorter = [0] * len(self.steps)
+        queue = deque(self.steps[0].values())
+        while queue:
+            at = queue.popleft()
+            self.ends[at] += self.ends[self.shorter[at]]
+            for c, to in self.steps[at].items():
+                self.shorter[to] = self.step(self.shorter[at], c)
+                queue.append(to)
+
+    def step(self, at: int, c: str) -> int:
+        """The state after one more character: the longest suffix that is a prefix of a piece."""
+        while c not in self.steps[at]:
+            if not at:
+                return 0
+            at = self.shorter[at]
+        return self.steps[at][c]
 
     @classmethod
     def of(cls, state: dict) -> Pieces:
@@ -56,7 +97,7 @@ def pre_tokens(text: str) -> list[str]:
 
 
 class Trie:
-    """Best scores and token counts of prefixes."""
+    """Forward scores and token counts of prefixes."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -64,30 +105,30 @@ class Trie:
 
     def clear(self):
         self.child: dict[tuple[int, str], int] = {}
-        self.best, self.tokens = [0.0], [0]
+        self.best, self.tokens, self.state = [0.0], [0], [0]
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token."""
-        child, best, tokens, score = self.child, self.best, self.tokens, self.pieces.score
+        child, best, tokens, state, pieces = self.child, self.best, self.tokens, self.state, self.pieces
         path = [0]
         for k, c in enumerate(word):
             key = (path[-1], c)
             node = child.get(key)
             if node is None:
-                top, n = None, 0
-                for size in range(min(self.pieces.longest, k + 1), 0, -1):  # the longest piece first: it wins ties
-                    s = score.get(word[k + 1 - size : k + 1])
-                    if s is not None:
-                        before = path[k + 1 - size]
-                        if top is None or best[before] + s > top:
-                            top, n = best[before] + s, tokens[before] + 1
-                if c not in score:
-                    s = best[path[k]] + self.pieces.unknown
+                at = pieces.step(state[path[-1]], c)
+                top, n, size = None, 0, 0
+                for size, s in pieces.ends[at]:  # the longest piece first: it wins ties
+                    before = path[k + 1 - size]
+                    if top is None or best[before] + s > top:
+                        top, n = best[before] + s, tokens[before] + 1
+                if size != 1:  # no piece of this character alone
+                    s = best[path[k]] + pieces.unknown
                     if top is None or s > top:
                         top, n = s, tokens[path[k]] + len(c.encode("utf-8", "surrogatepass"))
                 node = child[key] = len(best)
                 best.append(top)
                 tokens.append(n)
+                state.append(at)
             path.append(node)
         return tokens[path[-1]]
 
@@ -126,11 +167,11 @@ def _count(shared):
     return task
 
 
-def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, n_pretokens."""
+def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, n_tokens, n_pretokens.  ``stored`` takes the file's scores as log-probabilities."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(vars(Pieces(model_path)))  # as large as the file's vocabulary
+    shared = spark.sparkContext.broadcast(vars(Pieces(model_path, stored)))  # as large as the file's vocabulary
     return rows.mapInArrow(_count(shared), f"id {kind}, n_tokens long, n_pretokens long").withColumnRenamed("id", id_col)

@@ -15,12 +15,13 @@ def pieces():
 
 
 def brute(pieces, text):
-    """The recurrence over the whole text, without pre-tokens or a trie."""
+    """The recurrence over the whole text, without pre-tokens, a trie or an automaton."""
     text = tc.SPACE + text.replace(" ", tc.SPACE)
+    longest = max(map(len, pieces.score))
     best = [(0.0, 0)]
     for end in range(1, len(text) + 1):
         top = None
-        for start in range(max(0, end - pieces.longest), end):
+        for start in range(max(0, end - longest), end):
             s = pieces.score.get(text[start:end])
             if s is not None and (top is None or best[start][0] + s > top[0]):
                 top = (best[start][0] + s, best[start][1] + 1)
@@ -69,7 +70,8 @@ def words(rng, n):
     return " ".join(rng.choice(["the", "ontion", "Erheble", "réeuxch", "achlich", "it's", "x|y", "ñandú", "ingoron", "aaaaaaa"]) + rng.choice(["", ".", ","]) for _ in range(n))
 
 
-def test_matches_the_library_as_unigram(pieces):
+def test_matches_the_library_as_unigram():
+    pieces = tc.Pieces(PATH, stored=True)
     library, counts = as_unigram(), tc.Counts(pieces)  # the library adds in 32 bits, so only single words are exact there
     for word in ("the", "ontion", "Erheble", "réeuxch", "achlich", "it's", "x|y", "ñandú", "ingoron", "aaaaaaa", "disgusting"):
         for end in ("", ".", ",", "!?"):
@@ -94,3 +96,34 @@ def test_memory_is_bounded(pieces, monkeypatch):
         text = words(rng, 3)
         assert sum(map(counts.__getitem__, tc.pre_tokens(text))) == brute(pieces, text)
     assert len(counts.trie.best) < 50 + tc.LONG
+
+
+def test_scores_follow_the_law_of_ranks(pieces):
+    import math
+
+    stored = tc.Pieces(PATH, stored=True).score
+    assert math.fsum(map(math.exp, pieces.score.values())) == pytest.approx(1)
+    by = sorted(stored, key=lambda p: -stored[p])
+    assert all(pieces.score[a] > pieces.score[b] for a, b in zip(by, by[1:]) if stored[a] > stored[b])
+    assert pieces.score[by[0]] - pieces.score[by[9]] == pytest.approx(math.log((10 + tc.SHIFT) / (1 + tc.SHIFT)))
+
+
+def test_counts_are_near_those_of_the_files_own_tokenizer(pieces):
+    import pyarrow.parquet as pq
+
+    own, counts = sentencepiece.SentencePieceProcessor(model_file=PATH), tc.Counts(pieces)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() if t]
+    of = lambda t: sum(map(counts.__getitem__, tc.pre_tokens(t)))
+    assert [of("hello world this is  a test"), of("The international organisation, 2024.")] == [8, 10]
+    assert abs(sum(map(of, texts)) / sum(map(len, own.encode(texts))) - 1) < 0.08
+
+
+def test_registered_query(spark, pieces):
+    """Every whole text, by the plain recurrence."""
+    import pyarrow.parquet as pq
+
+    from gridloom.llm import queries
+
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()
+    want = {i: brute(pieces, t) if t else 0 for i, t in zip(docs["doc_id"], docs["text"])}
+    assert {r.doc_id: r.n_tokens for r in queries.op10_token_counts(spark, "/root/testdata/sf0.001").collect()} == want
