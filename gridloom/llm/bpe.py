@@ -93,6 +93,7 @@ class Splitter:
         self.plane = re.compile(f"{_LATE}[^\\W\\d_{other}]+|[\\d{other}]|(?:[^\\w{_SPACES}{extra}]|_)+")
         self.full = None
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.marks = {t[0] for t in special}  # a text without any of these characters has no special token
 
     def words(self, text: str) -> list[str]:
         if text.isascii():
@@ -108,7 +109,7 @@ class Splitter:
 
     def parts(self, text: str) -> list[str]:
         """Words and special tokens, in order."""
-        if self.special is None or "<" not in text:
+        if not any(c in text for c in self.marks):
             return self.words(text)
         out, at = [], 0
         for m in self.special.finditer(text):
