@@ -2,8 +2,8 @@
 
 A task gathers documents into shards of about a million words, builds the shard's FM-index, backward-searches every distinct
 window of the benchmark, locates the occurrences and merges them into removal spans.  Documents never move: no shuffle.  The
-benchmark's windows are broadcast in blocks of bounded size (``BLOCK_WORDS``); a larger benchmark takes one pass over the
-documents for each block, and spans and items add up.
+benchmark's windows are broadcast in blocks of bounded size (``BLOCK_WORDS``), one at a time; a larger benchmark takes one pass over the
+documents for each block, with a written table between two of them, and spans and items add up.
 
 Defined results: null and empty texts have no words and are clean; an item without words is never found; items that share an
 identifier count once; an item with a null identifier is named "null"; repeated documents each get their own row; an empty
@@ -12,7 +12,6 @@ benchmark or document table gives clean documents or no rows; other columns are
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -147,19 +146,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", ITEMS)])
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast(ITEMS).alias("items"))
-    blocks = list(_shared_blocks(spark, benchmark, item_col, item_text_col, window))
-    for shared in blocks:
-        found = found.mapInArrow(_scan(shared, SHARD_WORDS), schema)
-    return found
+    found, shared = _passes(found, benchmark, item_col, item_text_col, window)
+    return found.mapInArrow(_scan(shared, SHARD_WORDS), schema)
 
 
-def _shared_blocks(spark, benchmark, item_col, text_col, window):
-    none = True
+def _passes(found: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int, text: str = "text"):
+    """``found`` after all blocks but the last, and the last one, broadcast.  Each block is gone before the next one is made."""
+    spark = found.sparkSession
+    shared = written = None
     for block in _blocks(benchmark, item_col, text_col, window, BLOCK_WORDS):
-        none = False
-        yield spark.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and one item more
-    if none:
-        yield spark.sparkContext.broadcast(({}, np.zeros((0, window), np.int32), np.zeros(0, np.int32), []))
+        if shared is not None:
+            found = common.materialise(found.mapInArrow(_scan(shared, SHARD_WORDS, text), found.schema), "spans")
+            shared.destroy()
+            if written is not None:
+                common.release(written)
+            written = found
+        shared = spark.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and one item more
+    return found, shared or spark.sparkContext.broadcast(({}, np.zeros((0, window), np.int32), np.zeros(0, np.int32), []))
 
 
 def n_hit(spans):
@@ -209,9 +212,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size_co
     cut = _cut(names.index(text_col), names.index(size_col) if size_col in names else None)
     found = docs.toDF(*numbered).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast(ITEMS)})
     plain = T.StructType(found.schema.fields[:-3])
-    *first, last = _shared_blocks(spark, benchmark, "item_id", "text", window)
-    for shared in first:
-        found = found.mapInArrow(_scan(shared, SHARD_WORDS, text), found.schema)
+    found, last = _passes(found, benchmark, "item_id", "text", window, text)
     return found.mapInArrow(_scan(last, SHARD_WORDS, text, cut), plain).toDF(*names)
 
 
@@ -219,7 +220,3 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The contract's columns."""
     hit = n_hit(F.col("spans"))
     return found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
-
-
-def item_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
