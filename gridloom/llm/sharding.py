@@ -1,6 +1,8 @@
 """Uniform sharding by a hypergeometric communication matrix.
 
-The rows lie in source partitions, by a hash of identifier and text.  Entry (p, s) of the matrix says how many rows go from partition p to shard s; the rows
+The rows lie in source partitions, by a hash of identifier, text and copy number.  Equal rows (same identifier, size and CRC) are
+interchangeable, so they are counted first and then dealt out again as numbered copies: however many there are, no task gathers them,
+and documents of equal texts are no group that stays together: the law is ``rows``, each row counts once.  Entry (p, s) of the matrix says how many rows go from partition p to shard s; the rows
 of the matrix are drawn from the exact multivariate hypergeometric law given what each shard still lacks, so shard sizes are
 exact (at most one apart) and every assignment is equally likely.  Each partition permutes its rows and deals them out by its
 row of the matrix; after the exchange each shard permutes again, in sub-ranges of a second random key, so no task sorts a shard
@@ -8,7 +10,7 @@ alone.  All draws come from ``seed``; with the same rows the result is the same.
 each source partition (2**18 rows) and one for each shard and sub-range.
 
 Defined results: a null text has no bytes (size 1, CRC 0); null and repeated identifiers are rows like any others, told apart by
-CRC and size (equal rows are interchangeable); an empty table gives an empty result; other columns are ignored.
+CRC, size and copy number (equal rows are interchangeable); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of a source partition, and of a sub-range of a shard.
-SOURCE_ROWS = 1 << 18
+#: Rows of a source partition, and of a sub-range of a shard; copies of one row that are dealt out at once.
+SOURCE_ROWS, COPIES = 1 << 18, 1 << 12
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -77,19 +79,25 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, size, text_crc32, shard, slot (gapless from 0 in its shard)."""
     spark = docs.sparkSession
-    n = docs.count()
-    sources = max(64, -(-n // SOURCE_ROWS))
-    ranges = max(1, -(-n // (shards * SOURCE_ROWS)), min(16, n // (shards * 64)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("bytes"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
-    rows = rows.withColumn("source", F.pmod(F.xxhash64(F.lit(seed), "id", "crc"), F.lit(sources)))
+    distinct = common.materialise(rows.groupBy("id", "bytes", "crc").agg(F.count("*").alias("n")), "rows")  # the texts are read once
+    n = distinct.agg(F.sum("n")).first()[0] or 0
+    sources = max(64, -(-n // SOURCE_ROWS))
+    ranges = max(1, -(-n // (shards * SOURCE_ROWS)), min(16, n // (shards * 64)))
+    upto = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
+    once = distinct.where("n = 1").select("id", "bytes", "crc", F.lit(0).cast("long").alias("copy"))
+    parts = distinct.where("n > 1").select("*", F.explode(upto(F.ceil(F.col("n") / COPIES))).alias("part")).repartition("id", "crc", "part")
+    several = parts.select("id", "bytes", "crc", F.explode(upto(F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES))).alias("k"), "part")
+    rows = once.union(several.select("id", "bytes", "crc", F.col("part") * COPIES + F.col("k")))
+    rows = rows.withColumn("source", F.pmod(F.xxhash64(F.lit(seed), "id", "bytes", "crc", "copy"), F.lit(sources)))
     found = dict(rows.groupBy("source").count().collect())  # at most ``sources`` numbers
     keys = sorted(found)
     matrix = communication_matrix([found[k] for k in keys], shards, seed)
     dealt = spark.createDataFrame([(k, [int(x) for x in c]) for k, c in zip(keys, matrix.cumsum(1), strict=True)], "source long, upto array<long>")
-    local = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "crc", "bytes")
+    local = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "id", "copy"), "id", "crc", "bytes", "copy")
     rows = rows.withColumn("k", F.row_number().over(local) - 1).join(dealt, "source")
-    mixed = F.xxhash64(F.lit(seed + 2), "id", "crc", "k")  # equal rows part here too
+    mixed = F.xxhash64(F.lit(seed + 2), "id", "crc", "copy")
     rows = rows.select("id", "bytes", "crc", F.expr("size(filter(upto, x -> x <= k))").alias("shard"), F.pmod(F.shiftrightunsigned(mixed, 20), F.lit(ranges)).alias("part"), mixed.alias("mixed"))
     rows = common.materialise(rows, "dealt")
     sizes = rows.groupBy("shard", "part").count()

@@ -154,6 +154,41 @@ def test_near_dedup_links_past_the_hub_of_a_crowded_key(spark, monkeypatch):
     assert collected(got) == sorted(brute.near(rows, 2), key=repr)
 
 
+def around_a_hub(hub, j):
+    """Sets of 100 words m and x: m shares 89 of 111 with the hub, x 89 of 111 with m and 87 of 113 with the hub."""
+    m = hub[:88] + [hub[88 + j % 12]] + [f"m{j}_{k}" for k in range(11)]
+    return m, m[:87] + m[89:91] + [f"x{j}_{k}" for k in range(11)]
+
+
+def test_near_dedup_in_one_crowded_key(spark):
+    """Far more components than LISTED share a passage, and half of the links run past the hub: with the default constants."""
+    n, hub = 150, [f"c{k}" for k in range(100)]
+    found = [around_a_hub(hub, j) for j in range(n)]
+    rows = [(0, hub), *((1 + j, m) for j, (m, _) in enumerate(found)), *((1 + n + j, x) for j, (_, x) in enumerate(found))]
+    got = near_dedup.near_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3), shingle=1)
+    assert {r.component_id for r in got.collect()} == {0}
+
+
+def test_near_dedup_in_many_chains(spark):
+    """Chains h, m, x with h-m and m-x linked and h-x not: with the default constants."""
+    rows = []
+    for j in range(150):
+        hub = [f"c{j}_{k}" for k in range(100)]
+        rows += [(3 * j + k, " ".join(w)) for k, w in enumerate((hub, *around_a_hub(hub, j)))]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=1)
+    assert all(r.component_id == r.doc_id // 3 * 3 for r in got.collect())
+
+
+def test_near_dedup_finds_every_link_of_whole_documents(spark):
+    """Recall against an exact join of all pairs of texts, with shingles of five words."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()
+    rows = list(zip(docs["doc_id"], docs["text"]))
+    got = near_dedup.near_dedup(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert collected(got) == sorted(brute.near(rows, 5), key=repr)
+
+
 def test_posterior_bound_is_the_chosen_probability():
     from math import comb
 
@@ -193,6 +228,19 @@ def test_sharding(docs, rows):
     assert collected(sharding.assign_shards(docs.repartition(3), 16)) == sorted(map(tuple, got), key=repr)  # whatever the partitions
 
 
+def test_sharding_of_very_many_equal_rows(spark, monkeypatch):
+    """A row without an identifier and text that stands there very often is dealt out like any other."""
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(None, None)] * 3000 + [(k % 40, "t") for k in range(500)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 16).collect()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(i), 1 + len(t or ""), 2238339752 if t else 0) for i, t in rows)
+    slots = {s: sorted(r.slot for r in got if r.shard == s) for s in range(16)}
+    assert all(x == list(range(len(x))) for x in slots.values()) and {len(x) for x in slots.values()} == {218, 219}
+    nulls = [sum(r.doc_id is None for r in got if r.shard == s) for s in range(16)]
+    assert max(nulls) - min(nulls) < 60  # 187.5 each, with a standard deviation of 5
+    assert collected(sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 16)) == sorted(map(tuple, got), key=repr)
+
+
 def test_sharding_is_uniform(spark):
     """Where row 0 goes, and whether rows 0 and 1 share a shard, over many seeds."""
     rng = np.random.default_rng(0)
