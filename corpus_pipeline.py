@@ -31,7 +31,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of equal texts the one with the smallest identifier stays."""
     decided = exact_dedup.exact_dedup(docs)
     kept = _keep(docs, decided, doc_id=F.col("doc_id"), text_sha256=F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    once = Window.partitionBy("_doc_id", "_text_sha256").orderBy(*(F.col(f"_row.{c}") for c in ("text", "lang", "source", "n_chars")))
+    once = Window.partitionBy("_doc_id", "_text_sha256").orderBy("_row.text", F.xxhash64("_row"))
     return kept.withColumn("_k", F.row_number().over(once)).where("_k = 1").select("_row.*")
 
 
@@ -64,7 +64,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.temporary(spark) as kept:
+            docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
+        if before is not None:
+            common.release(before)
+        before = docs
     return docs
