@@ -12,6 +12,7 @@ from gridloom.functions.projection import DEFAULT, Projection
 from gridloom.functions.reductions import Observed, reduction
 from gridloom.operators.assign import box_distances
 from gridloom.plans.gridspec import Bounds
+from gridloom.sources.scratch import written
 
 
 def observe(obs: DataFrame, projection: Projection | str = DEFAULT, mode: str = "failfast") -> DataFrame:
@@ -58,49 +59,68 @@ def observation_extent(observed: DataFrame) -> DataFrame:
     return observed.agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y", "t") for n, f in (("min", F.min), ("max", F.max))), F.count("*").alias("num_observations"))
 
 
+#: Targets up to this number are broadcast to the tiles around them.
+FEW_TARGETS = 1 << 16
+
+
 def nearest_neighbour(observed: DataFrame, targets: DataFrame, tile: float | None = None) -> DataFrame:
     """The nearest observation of each target (target_id, x, y): target_id, record_index, d2.  The smallest index wins ties.
 
-    Rings of tiles grow around the targets: in each round a target meets the observations of the tiles that the round adds.  A
-    target is settled when no tile further out can hold a nearer one, so most are settled after one or two rounds whatever
-    the number of observations.  Every round is one equi-join on the tile; nothing is broadcast or crossed.
+    Observations are put into tiles, and the list of tiles that hold any is written.  Rings grow around the targets; in each round a
+    target meets the occupied tiles of its ring only, found by a join on blocks of tiles as wide as the ring, and of those only the
+    tiles that may hold a nearer observation than another tile surely does.  A target is settled when nothing further out can be
+    nearer, so most are settled after one or two rounds, and an empty region costs nothing but rounds.  All joins are equi-joins; every
+    round is a written table, so lost executors cost no more than their tasks.
     """
-    spark = observed.sparkSession
     obs = observed.select("record_index", F.col("x").cast("double").alias("ox"), F.col("y").cast("double").alias("oy")).where(~F.isnan("x") & (F.abs("x") != math.inf) & (F.abs("y") != math.inf))
-    around = obs.agg(F.min("ox"), F.max("ox"), F.min("oy"), F.max("oy"), F.count("*")).first()
+    west, east, south, north, n = obs.agg(F.min("ox"), F.max("ox"), F.min("oy"), F.max("oy"), F.count("*")).first()
     target = targets.select("target_id", F.col("x").cast("double").alias("tx"), F.col("y").cast("double").alias("ty"))
-    if not around[4]:
-        return target.select("target_id", F.lit(None).cast(observed.schema["record_index"].dataType).alias("record_index"), F.lit(None).cast("double").alias("d2"))
-    span = max(around[1] - around[0], around[3] - around[2], 1e-9)
-    tile = tile or max(span / max(1.0, math.sqrt(around[4] / 8)), span / 1e6)
-    at = lambda c: F.floor(F.col(c) / F.lit(tile)).cast("long")
-    obs = obs.select("*", at("ox").alias("i"), at("oy").alias("j"))
-    last = math.floor(around[1] / tile), math.floor(around[3] / tile)
-    first = math.floor(around[0] / tile), math.floor(around[2] / tile)
-    # the tile of the place within the extent that is nearest to the target: rings around it grow without empty rounds far away
-    clip = lambda c, low, high: F.least(F.greatest(F.col(c), F.lit(low)), F.lit(high))
-    target = target.select("*", F.floor(clip("tx", around[0], around[1]) / tile).cast("long").alias("ti"), F.floor(clip("ty", around[2], around[3]) / tile).cast("long").alias("tj"))
-    wide = max(last[0] - first[0], last[1] - first[1]) + 1
-    best = target.select("*", F.lit(None).cast("double").alias("d2"), F.lit(None).cast(observed.schema["record_index"].dataType).alias("record_index"))
+    index = observed.schema["record_index"].dataType
+    if not n:
+        return target.select("target_id", F.lit(None).cast(index).alias("record_index"), F.lit(None).cast("double").alias("d2"))
+    span = max(east - west, north - south, 1e-9)
+    tile = tile or max(span / max(1.0, math.sqrt(n / 8)), span / 1e6)
+    at = lambda c, low, high: F.floor(F.least(F.greatest(c, F.lit(low)), F.lit(high)) / F.lit(tile)).cast("long")
+    obs = obs.select("*", at(F.col("ox"), west, east).alias("i"), at(F.col("oy"), south, north).alias("j"))
+    occupied = written(obs.select("i", "j").distinct(), "tiles")
+    # ti, tj: the tile of the place within the extent that is nearest to the target
+    left = target.select("*", at(F.col("tx"), west, east).alias("ti"), at(F.col("ty"), south, north).alias("tj"), F.lit(None).cast("double").alias("d2"), F.lit(None).cast(index).alias("record_index"))
+    wide = max(math.floor(east / tile) - math.floor(west / tile), math.floor(north / tile) - math.floor(south / tile)) + 1
     done, inner, outer = None, -1, 1
     while True:
-        ring = F.sequence(F.lit(-outer), F.lit(outer))
-        cells = best.select("target_id", "tx", "ty", "ti", "tj", F.explode(ring).alias("a")).select("*", F.explode(ring).alias("b"))
-        cells = cells.where((F.abs("a") > inner) | (F.abs("b") > inner)).select("target_id", "tx", "ty", (F.col("ti") + F.col("a")).alias("i"), (F.col("tj") + F.col("b")).alias("j"))
-        cells = cells.where(F.col("i").between(first[0], last[0]) & F.col("j").between(first[1], last[1]))
-        d2 = (F.col("tx") - F.col("ox")) * (F.col("tx") - F.col("ox")) + (F.col("ty") - F.col("oy")) * (F.col("ty") - F.col("oy"))
-        met = cells.join(obs, ["i", "j"]).select("target_id", d2.alias("d2"), "record_index")
-        known = best.where("d2 IS NOT NULL").select("target_id", "d2", "record_index")
-        least = met.union(known).groupBy("target_id").agg(F.min(F.struct("d2", "record_index")).alias("m"))
-        now = best.select("target_id", "tx", "ty", "ti", "tj").join(least, "target_id", "left").select("target_id", "tx", "ty", "ti", "tj", F.col("m.d2").alias("d2"), F.col("m.record_index").alias("record_index"))
-        now = now.persist()
+        now = written(_ring(left, obs, occupied, tile, inner, outer, left.count() <= FEW_TARGETS), "nearest")
         # the distance to the nearest edge of the square of tiles seen so far
-        side = lambda t, k, n: F.least(F.col(t) - (F.col(k) - n) * tile, (F.col(k) + n + 1) * tile - F.col(t))
-        reach = F.least(side("tx", "ti", outer), side("ty", "tj", outer))
+        side = lambda t, k: F.least(F.col(t) - (F.col(k) - outer) * tile, (F.col(k) + outer + 1) * tile - F.col(t))  # noqa: B023, E731
+        reach = F.least(side("tx", "ti"), side("ty", "tj"))
         settled = F.coalesce(F.col("d2") < F.when(reach > 0, reach * reach).otherwise(0.0), F.lit(False))
-        over = now if outer >= wide else now.where(settled)
+        over = (now if outer >= wide else now.where(settled)).select("target_id", "record_index", "d2")
         done = over if done is None else done.union(over)
-        rest = now.where(~settled)
-        if outer >= wide or not rest.limit(1).count():
-            return done.select("target_id", "record_index", "d2")
-        best, inner, outer = rest, outer, min(wide, 2 * outer + 1)
+        left = now.where(~settled)
+        if outer >= wide or not left.limit(1).count():
+            return done
+        inner, outer = outer, min(wide, 2 * outer + 1)
+
+
+def _ring(left: DataFrame, obs: DataFrame, occupied: DataFrame, tile: float, inner: int, outer: int, few: bool) -> DataFrame:
+    """The targets with the nearest observation among those known and those in tiles ``inner`` + 1 to ``outer`` away."""
+    block = outer + 1
+    part = lambda c: F.floor(F.col(c) / F.lit(block)).cast("long")
+    tiles = occupied.select("i", "j", part("i").alias("bi"), part("j").alias("bj"))
+    around = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    asked = left.select("target_id", "tx", "ty", "ti", "tj", "d2", around.alias("a")).select("*", around.alias("b"))
+    asked = asked.select("target_id", "tx", "ty", "ti", "tj", "d2", (part("ti") + F.col("a")).alias("bi"), (part("tj") + F.col("b")).alias("bj"))
+    away = F.greatest(F.abs(F.col("i") - F.col("ti")), F.abs(F.col("j") - F.col("tj")))
+    met = tiles.join(F.broadcast(asked) if few else asked, ["bi", "bj"]).where((away > inner) & (away <= outer))
+    # squared distances to the nearest and the furthest place of a tile
+    gap = lambda t, k: F.greatest(F.col(k) * tile - F.col(t), F.col(t) - (F.col(k) + 1) * tile, F.lit(0.0))
+    far = lambda t, k: F.greatest(F.abs(F.col(k) * tile - F.col(t)), F.abs((F.col(k) + 1) * tile - F.col(t)))
+    square = lambda f: f("tx", "i") * f("tx", "i") + f("ty", "j") * f("ty", "j")
+    met = written(met.select("target_id", "tx", "ty", "d2", "i", "j", square(gap).alias("least"), square(far).alias("most")), "met")
+    bound = met.groupBy("target_id").agg(F.least(F.min("most"), F.min("d2")).alias("bound"))
+    slack = 1 + 1e-9  # against rounding at a tile's edge
+    near = met.join(bound, "target_id").where(F.col("least") <= F.col("bound") * slack).select("target_id", "tx", "ty", "i", "j")
+    dx, dy = F.col("tx") - F.col("ox"), F.col("ty") - F.col("oy")
+    found = near.join(obs, ["i", "j"]).select("target_id", (dx * dx + dy * dy).alias("d2"), "record_index")
+    known = left.where("d2 IS NOT NULL").select("target_id", "d2", "record_index")
+    least = found.union(known).groupBy("target_id").agg(F.min(F.struct("d2", "record_index")).alias("m"))
+    return left.select("target_id", "tx", "ty", "ti", "tj").join(least, "target_id", "left").select("target_id", "tx", "ty", "ti", "tj", F.col("m.d2").alias("d2"), F.col("m.record_index").alias("record_index"))

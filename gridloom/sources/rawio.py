@@ -1,13 +1,15 @@
 """Flat binary files: a data source for coordinates and values, and a sink for rasters.
 
 Files hold items of one type in native order without a header; item i of each belongs to observation i.  Readers take slices of the
-files, so any number of tasks can read; paths must be visible to every executor.  A raster is written into one file at fixed
-offsets, so a repeated task writes the same bytes again.
+files, so any number of tasks can read; paths must be visible to every executor.  A raster is written at fixed offsets into one file
+beside the target, so a repeated task writes the same bytes again; it takes the target's place when all tasks are done, and goes when
+one fails.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -88,11 +90,19 @@ class _Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.dtype = options["path"], dtype(options["dtype"])
-        with open(self.path, "wb") as f:  # once, on the driver: the whole file
+        self.beside = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        with open(self.beside, "wb") as f:  # once, on the driver: the whole file
             f.truncate(int(options["items"]) * self.dtype.size)
 
+    def commit(self, messages):
+        os.replace(self.beside, self.path)
+
+    def abort(self, messages):
+        if os.path.exists(self.beside):
+            os.remove(self.beside)
+
     def write(self, batches):
-        file = os.open(self.path, os.O_WRONLY)
+        file = os.open(self.beside, os.O_WRONLY)
         try:
             for batch in batches:
                 idx = batch.column("idx").to_numpy()

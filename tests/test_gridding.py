@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import query as q
 from gridloom.operators.assign import assign
 from gridloom.plans.gridspec import Bounds, GridSpec
-from gridloom.plans.pipeline import all_fill, grid_geolocation, grid_observations, grid_observed, masked
+from gridloom.plans.pipeline import all_fill, grid_geolocation, grid_observations, grid_observed, masked, to_masked_numpy
 
 f32 = np.float32
 SCHEMA = "record_index long, x float, y float, t float, value double"
@@ -173,3 +173,25 @@ def test_streaming_mean(spark, tmp_path):
     want = {(3 - r.row, r.col): r.value for r in grid_observed(fixture(spark), g, "mean").collect() if r.value != -999.0}
     assert got == want
     assert grid_observations is not None
+
+
+def test_masked_array_of_a_raster(spark):
+    raster = spark.createDataFrame([(0, 10.0), (1, -999.0), (2, 1000.0), (3, 0.0), (4, None), (5, 1.0)], "idx long, value double")
+    plain = to_masked_numpy(raster, 3, 2)
+    assert plain.mask.tolist() == [[False, True, False], [False, True, False]] and plain.filled(-1).tolist() == [[10, -1, 1000], [0, -1, 1]]
+    log = to_masked_numpy(raster, 3, 2, log=True)
+    assert log.mask.tolist() == [[False, True, False], [True, True, False]] and log.filled(-1).tolist() == [[1, -1, 3], [-1, -1, 0]]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_nearest_neighbours_over_empty_regions(spark, seed):
+    """Two far clusters and targets all over, some on observations: by brute force."""
+    rng = np.random.default_rng(seed)
+    xy = np.concatenate([rng.normal(0, 10, (300, 2)), rng.normal(1e5, 3, (300, 2)), [[5e4, -7e4]]]).astype(f32)
+    seen = [(k, float(x), float(y), 0.0, 1.0) for k, (x, y) in enumerate(xy)]
+    places = np.concatenate([rng.uniform(-2e5, 3e5, (60, 2)), xy[::40].astype(float)])
+    got = q.nearest_neighbour(spark.createDataFrame(seen, SCHEMA), spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(places)], "target_id long, x double, y double"), tile=40.0).collect()
+    d2 = ((places[:, None] - xy[None].astype(float)) ** 2).sum(2)
+    assert len(got) == len(places)
+    for r in got:
+        assert r.d2 == pytest.approx(d2[r.target_id].min()) and r.record_index == int(np.flatnonzero(d2[r.target_id] == r.d2)[0])

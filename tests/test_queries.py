@@ -20,7 +20,7 @@ def same(a, b):
     return a == b or a != a and b != b
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - {"grid_mean_default_grid"}))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

@@ -2,11 +2,12 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom import cli
 from gridloom.operators import query as q
 from gridloom.plans.gridspec import Bounds
-from gridloom.sources.index import load_index, save_index, with_values
+from gridloom.sources.index import check_index, load_index, save_index, with_values
 from gridloom.sources.rawio import read_raster, read_raw, write_raster
 from gridloom.sources.timemap import linear_timemap
 
@@ -50,6 +51,16 @@ def test_raw_coded_round_trip(spark, tmp_path):
     assert (tmp_path / "out").read_bytes() == raw
 
 
+def test_a_failed_write_leaves_the_old_raster(spark, tmp_path):
+    path = tmp_path / "raster"
+    put(path, [1, 2, 3, 4], "int32")
+    before = path.read_bytes()
+    bad = spark.range(4).selectExpr("id AS idx", "CAST(CASE WHEN id = 3 THEN raise_error('no') ELSE id END AS INT) AS value")
+    with pytest.raises(Exception, match="no"):
+        write_raster(bad, str(path), 4, "int32")
+    assert path.read_bytes() == before and [f.name for f in tmp_path.iterdir()] == ["raster"]
+
+
 def test_empty_raw_file(spark, tmp_path):
     assert read_raw(spark, data=put(tmp_path / "e", [])).count() == 0
 
@@ -65,6 +76,7 @@ def test_index(spark, tmp_path):
     assert index.num_observations == 500 and index.projection.definition == "+proj=eqc +datum=WGS84"
     assert sorted(map(tuple, index.observed.collect())) == sorted(map(tuple, o.select("record_index", "x", "y", "t").collect()))
     assert with_values(index, o).count() == 500
+    assert index.tile == 250_000.0 and tuple(check_index(spark, path).first()) == (500, True, True, True)
     found = q.range_query(index.observed, Bounds(0, 1e6, 0, 1e6))
     assert "PushedFilters: [IsNotNull" in found._jdf.queryExecution().executedPlan().toString()
 
@@ -78,6 +90,16 @@ def test_corrupt_index(spark, tmp_path, line):
         load_index(spark, path)
 
 
+def test_broken_index_invariants(spark, tmp_path):
+    path = str(tmp_path / "index")
+    o = observations(spark)
+    save_index(o, path, "+proj=eqc")
+    twice = o.select("record_index", "x", "y", "t").where("record_index < 250")
+    nan = twice.withColumn("x", F.lit(float("nan")).cast("float"))
+    twice.union(nan).repartition(3, "record_index").write.mode("overwrite").parquet(f"{path}/observations")
+    assert tuple(check_index(spark, path).first()) == (500, False, False, False)
+
+
 def test_timemap(spark):
     got = {(r.row, r.col): r.t for r in linear_timemap(spark, 3, 5, 10.0, 20.0).collect()}
     assert got == {(r, c): float(np.float32(np.linspace(10, 20, 5)[r])) for r in range(5) for c in range(3)}
