@@ -3,12 +3,13 @@
 An archive is a skippable frame that holds the dictionary, then one frame for each record.  Spark's text writer puts the frames
 into files on any file system, with its commit protocol; between two of them it writes a separator, which is an empty
 skippable frame, so every Zstandard reader passes over it.  The reader gets whole files from Spark's binary source (archives
-hold about 128 MB of payload), loads the dictionary from the leading frame, cuts the file into frames by their block
+hold about ``ARCHIVE_BYTES`` of payload, whatever the number of shuffle partitions), loads the dictionary from the leading frame, cuts the file into frames by their block
 headers, decodes one frame for each record and validates versions, mandatory headers, lengths and digests.
 
 Of equal payloads of at least ``MIN_REVISIT`` bytes, the record with the largest identifier is a response and the others revisit
 it: they carry headers without a payload.  Equal payloads have equal SHA-256 and length.  Only identifiers and digests take
-part in finding them; frames are dealt by identifier, so a page with millions of copies stays spread out.
+part in finding them; payloads with more than ``HOT`` copies are joined by a broadcast (there is at most one for each ``HOT`` pages),
+and frames are dealt by identifier and digest, so a page with millions of copies stays spread out.
 
 Defined results: a null html is an empty payload; a null identifier is written as ``null`` and never is a revisit's target unless
 the group has no other (then all are responses); rows repeated with one identifier are records of their own and of the same type;
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_REVISIT = 1000
-#: Pages and megabytes of an Arrow batch; bytes of payload in an archive, about.
-BATCH, ARCHIVE_BYTES = (500, 4), 128 << 20
+#: Bytes of payload in an archive, about.
+ARCHIVE_BYTES = 128 << 20
+#: Copies of one payload up to which its records meet in one task.
+HOT = 1 << 18
 #: Pages the dictionary is trained on (those with the smallest hash of their identifier), bytes of each, bytes of the dictionary.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 16_384, 65_536
 
@@ -166,17 +169,26 @@ def _respond(dictionary):
 
 
 def _archive(dictionary):
-    """The task: one archive's frames, the dictionary first."""
+    """The task: one archive's frames, the dictionary first.
+
+    Rows come ordered by key.  One without a frame says that the pages of its key, which follow, revisit ``refers_to``.
+    """
 
     def task(batches):
         coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary.value), write_checksum=True)
         packed = zstandard.ZstdCompressor(level=9).compress(dictionary.value)
         lead = [DICTIONARY_MAGIC + len(packed).to_bytes(4, "little") + packed]
+        key = target = None
         for batch in batches:
             out = lead
             lead = []
             for row in batch.to_pylist():
-                out.append(row["frame"] if row["frame"] is not None else coder.compress(record(row["id"], row["url"], row["size"], row["digest"], None, row["refers_to"])))
+                if row["frame"] is None:
+                    key, target = row["key"], row["refers_to"]
+                elif row["key"] == key:
+                    out.append(coder.compress(record(row["id"], row["url"], row["size"], row["digest"], None, target)))
+                else:
+                    out.append(row["frame"])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     return task
@@ -185,18 +197,26 @@ def _archive(dictionary):
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write one record per page to archives ``*.warc.zst`` under ``path``."""
     spark = pages.sparkSession
-    common.bounded_batches(spark, *BATCH)
+    common.bounded_batches(spark)
     dictionary = spark.sparkContext.broadcast(train_dictionary(pages, id_col, html_col))  # DICTIONARY_BYTES at most
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    named = rows.where(F.octet_length("html") >= MIN_REVISIT).select("id", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("size"))
-    leaders = named.groupBy("sha", "size").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = named.join(leaders, ["sha", "size"]).where("NOT id <=> refers_to").groupBy("id", "sha").agg(F.max("refers_to").alias("refers_to"))
+    named = common.materialise(rows.where(F.octet_length("html") >= MIN_REVISIT).select("id", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("size")), "named")
+    leaders = common.materialise(named.groupBy("sha", "size").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "leaders")
+    same = ["sha", "size"]
+    hot, rest = F.broadcast(leaders.where(F.col("n") > HOT)), leaders.where(F.col("n") <= HOT)
+    copies = named.join(hot, same).union(named.join(hot.select(*same), same, "left_anti").join(rest, same)).where("NOT id <=> refers_to")
+    revisits = copies.groupBy(F.col("id").alias("of"), F.col("sha").alias("of_sha")).agg(F.max("refers_to").alias("refers_to"))
     responses = rows.mapInArrow(_respond(dictionary), "id long, url string, sha string, digest string, size long, frame binary")
-    a, b = responses.alias("a"), revisits.withColumnRenamed("id", "of").withColumnRenamed("sha", "of_sha").alias("b")
-    chosen = a.join(b, F.expr("a.id <=> b.of AND a.sha = b.of_sha"), "left")
-    records = chosen.select("id", "url", "digest", "size", "refers_to", F.expr("CASE WHEN refers_to IS NULL THEN frame END").alias("frame"))
     size = rows.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
-    records = records.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES)))  # no crowd of tiny archives
+    archives = max(2 * spark.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))  # few pages still keep all cores busy
+    # one exchange: pages and marks of revisits are dealt by the same key, and each partition becomes an archive; pages that no mark
+    # can be about are dealt by where they come from too, so rows that are all alike spread as well
+    key = lambda i, sha, *more: F.concat_ws(":", sha, F.coalesce(F.col(i).cast("string"), F.lit("null")), *more).alias("key")
+    place = F.when(F.col("size") < MIN_REVISIT, F.spark_partition_id().cast("string"))
+    pages_of = responses.select(key("id", "sha", place), "id", "url", "digest", "size", F.lit(None).cast("long").alias("refers_to"), "frame")
+    none = [F.lit(None).cast(kind).alias(n) for n, kind in (("id", "long"), ("url", "string"), ("digest", "string"), ("size", "long"))]
+    marks = revisits.select(key("of", "of_sha"), *none, "refers_to", F.lit(None).cast("binary").alias("frame"))
+    records = pages_of.union(marks).repartition(archives, "key").sortWithinPartitions("key", F.col("frame").isNotNull())
     records.mapInArrow(_archive(dictionary), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
     _rename(spark, path)
 
@@ -239,7 +259,7 @@ def _reader(names):
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
-    common.bounded_batches(spark, *BATCH)
+    common.bounded_batches(spark)
     names = [n for n in _FIELDS if payloads or n != "payload"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
     return files.mapInArrow(_reader(names), ", ".join(f"{n} {_FIELDS[n][0]}" for n in names))
