@@ -145,3 +145,78 @@ def near(rows, size):
         comp = top(named[sets[k]][0]) if sets[k] in named else r[0]
         out.append((r[0], len(sets[k]), comp, comp == r[0]))
     return out
+
+
+def trigrams(text):
+    """Counts of hashed letter trigrams, one character after another."""
+    out, spaced = {}, " "
+    for c in text or "":
+        c = c.lower()[0] if c.isalpha() else " "
+        if c != " " or spaced[-1] != " ":
+            spaced += c
+    spaced = spaced if spaced[-1] == " " else spaced + " "
+    for a, b, c in zip(spaced, spaced[1:], spaced[2:]):
+        h = (ord(a) * 0x9E3779B1 & 0xFFFFFFFF) ^ (ord(b) * 0x85EBCA77 & 0xFFFFFFFF) ^ (ord(c) * 0xC2B2AE3D & 0xFFFFFFFF)
+        h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+        out[h >> 16] = out.get(h >> 16, 0) + 1
+    return out
+
+
+def mixture(likelihood, counts):
+    """Proportions by EM from even ones, and the log-likelihood.  likelihood[language][value], counts[value]."""
+    from math import log
+
+    k, total = len(likelihood), sum(counts.values())
+    w = [1 / k] * k
+    for _ in range(30 if k > 1 else 0):
+        new = [0.0] * k
+        for v, n in counts.items():
+            joint = [w[j] * likelihood[j](v) for j in range(k)]
+            for j in range(k):
+                new[j] += n * joint[j] / sum(joint) / total
+        moved = max(abs(a - b) for a, b in zip(w, new))
+        w = new
+        if moved < 1e-3:
+            break
+    return w, sum(n * log(sum(w[j] * likelihood[j](v) for j in range(k))) for v, n in counts.items())
+
+
+def languages(rows):
+    """(doc_id, held out, language, score, {language: share}) of rows (doc_id, text, lang)."""
+    import zlib
+    from math import exp, log
+
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0
+    learned = {}
+    for i, text, lang in rows:
+        if not held(i) and text is not None and lang is not None:
+            for v, n in trigrams(text).items():
+                counts = learned.setdefault(lang, {})
+                counts[v] = counts.get(v, 0) + n
+    names = sorted(learned)
+    sums = {x: sum(learned[x].values()) + 0.05 * 65536 for x in names}
+    model = {x: (lambda v, x=x: (learned[x].get(v, 0) + 0.05) / sums[x]) for x in names}
+    out = []
+    for i, text, _ in rows:
+        counts = trigrams(text)
+        if not counts or not names:
+            out.append((i, held(i), "und", 0.0, {}))
+            continue
+        alone = {x: sum(n * log(model[x](v)) for v, n in counts.items()) for x in names}
+        first = max(names, key=lambda x: (alone[x], -names.index(x)))
+        shares = dict(zip(names, mixture([model[x] for x in names], counts)[0]))
+        order = [first] + sorted((x for x in names if x != first), key=lambda x: -shares[x])
+        penalty = 0.5 * log(max(2, sum(counts.values())))
+        chosen, weights, value = [first], [1.0], alone[first] / 3
+        rival = max((alone[x] / 3 for x in names if x != first), default=None)
+        for k in range(2, len(names) + 1):
+            w, likelihood = mixture([model[x] for x in order[:k]], counts)
+            now = likelihood / 3 - penalty * (k - 1)
+            if now <= value:
+                rival = max(rival, now)
+                break
+            rival, chosen, weights, value = value, order[:k], w, now
+        sure = 1.0 if rival is None else 1 / (1 + exp(min(0.0, max(-700.0, rival - value))))
+        best = max(range(len(chosen)), key=lambda j: weights[j])
+        out.append((i, held(i), chosen[best], min(1.0, weights[best] * sure), dict(zip(chosen, weights))))
+    return out

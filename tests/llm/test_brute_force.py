@@ -338,6 +338,24 @@ def test_language_identification(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
 
 
+def test_language_mixtures_match_a_plain_inference(spark):
+    """Every document's EM, chosen set, language and score, one trigram after another: pure, mixed, blank and odd texts."""
+    rng = random.Random(6)
+    text = lambda lang, n: " ".join(rng.choice(LANGS[lang].split()) for _ in range(n))
+    rows = []
+    for k in range(150):
+        parts = rng.sample(list(LANGS), rng.choice([1, 1, 2, 3]))
+        rows.append((k, " ".join(text(x, rng.randrange(1, 25)) for x in parts), parts[0] if len(parts) == 1 else None))
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "7 ?!", "cc"), (903, "MARA Tovi x", None), (None, text("bb", 5), "bb"), (904, "😀𝔸mara İ", "aa"), (905, "zzz qqq", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    assert len(got) == len(rows)
+    for i, held, lang, score, shares in brute.languages(rows):
+        r = got[i]
+        assert (r.held_out, r.lang_pred) == (held, lang) and r.score == pytest.approx(score, abs=1e-6), i
+        assert {x.lang: x.share for x in r.languages} == pytest.approx(shares, abs=1e-6), i
+
+
 def test_language_identification_never_reads_held_out_labels(spark):
     import zlib
 

@@ -36,16 +36,59 @@ def test_op1(spark):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op1_bpe(spark, SF).collect()} == want
 
 
-def test_op6_on_held_out_documents(spark):
-    lang = dict(zip(*(pq.read_table(f"{SF}/documents.parquet").to_pydict()[c] for c in ("doc_id", "lang"))))
-    got = [r for r in queries.op6_language_id(spark, SF).collect() if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+def test_op6(spark):
+    """All documents against a plain inference, and the held-out ones against their languages."""
+    import brute
+
+    docs = pq.read_table(f"{SF}/documents.parquet").to_pydict()
+    lang = dict(zip(docs["doc_id"], docs["lang"]))
+    rows = queries.op6_language_id(spark, SF).collect()
+    got = [r for r in rows if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
     assert got and sum(r.lang_pred == lang[r.doc_id] for r in got) / len(got) >= 0.95
+    want = {i: (held, name, score) for i, held, name, score, _ in brute.languages(list(zip(docs["doc_id"], docs["text"], docs["lang"])))}
+    assert len(rows) == len(want) and all((r.held_out, r.lang_pred) == want[r.doc_id][:2] and abs(r.score - want[r.doc_id][2]) < 1e-6 for r in rows)
+
+
+def test_op2_on_held_out_documents(spark):
+    """Fitted on two thirds of the labels of sf0.1, judged on the others; the chain against the last category alone."""
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import toxicity
 
+    folder = SF.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    truth = {r.doc_id: bool(r.toxic) for r in labels.where(held).collect()}
+    judged, losses = {}, {}
+    for name, chain in (("chain", toxicity.chain_of_labels()), ("alone", {"toxic": F.col("toxic")})):
+        model = toxicity.train(docs, labels.where(~held), chain)
+        rows = {r.doc_id: r for r in toxicity.score(docs.where(held), model).collect()}
+        said = {i: r.toxic for i, r in rows.items()}
+        losses[name] = -sum(np.log(rows[i].p_toxic if t else 1 - rows[i].p_toxic) for i, t in truth.items()) / len(truth)
+        hits = sum(said[i] and t for i, t in truth.items())
+        judged[name] = hits / max(1, sum(said[i] for i in truth)), hits / sum(truth.values())
+    print(judged, losses, len(truth), sum(truth.values()))
+    assert judged["chain"][0] > 0.85 and judged["chain"][1] > 0.9  # never toxic: a recall of 0
+    assert losses["chain"] < losses["alone"]
 
-def test_op2_on_labelled_documents(spark):
-    labels = dict(zip(*(pq.read_table(f"{SF}/labels.parquet").to_pydict()[c] for c in ("doc_id", "toxic"))))
-    got = {r.doc_id: r.toxic for r in queries.op2_toxicity(spark, SF).collect()}
-    assert sum(got[i] == bool(t) for i, t in labels.items()) / len(labels) > 0.9
+
+def test_op2_covers_every_document(spark):
+    rows = queries.op2_toxicity(spark, SF).collect()
+    ids = pq.read_table(f"{SF}/documents.parquet").column("doc_id").to_pylist()
+    assert sorted(r.doc_id for r in rows) == sorted(ids) and all(0 <= p <= 1 for r in rows for p in (r.p_low_quality, r.p_toxic))
+
+
+def test_op9(spark):
+    """The registered query: sizes and checksums by hand, counts at most one apart, slots without a gap."""
+    import zlib
+
+    docs = pq.read_table(f"{SF}/documents.parquet").to_pydict()
+    raw = {i: (t or "").encode() for i, t in zip(docs["doc_id"], docs["text"])}
+    rows = queries.op9_sharding(spark, SF).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len(b) + 1, zlib.crc32(b)) for i, b in raw.items()} and len(rows) == len(raw)
+    shards = [sorted(r.slot for r in rows if r.shard == s) for s in range(16)]
+    assert all(x == list(range(len(x))) for x in shards) and max(map(len, shards)) - min(map(len, shards)) <= 1
+    assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
 
 
 def test_every_operator_is_registered():
