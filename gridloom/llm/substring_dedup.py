@@ -2,16 +2,20 @@
 
 A passage of ``WINDOW`` = 13 words that starts at place i of one document and at j of another has, for some shift d < 7, both
 i + d and j + d in the difference cover {0, 1, 3} modulo 7; the 7 words from there lie within the passage.  So it is enough to
-hash 7-word anchors at 3 of 7 places: any shared window shares an aligned anchor.  Windows around anchors that two documents
-share are then extended to 13 words and compared by a hash of the whole window; the smallest document that has it keeps it.
+hash 7-word anchors at 3 of 7 places: any shared window shares an aligned anchor.  Around anchors that two documents share, each
+match is then extended to all 13-word windows that hold the anchor; the smallest document that has a window keeps it.
 
 Documents are packed once into blocks of a few megabytes (a written table).  A block sends each distinct anchor once, however
 many of its documents have it, as 4 bytes in a bucket; the bucket answers with one bit.  Windows then travel the same way with
 the smallest identifier of the block, and the answer is the smallest of all.  A passage that a third of all documents share
 thus costs one entry for each block, never one for each document or pair.
 
-Anchors are compared by 32 bits within a bucket (a chance equality only makes a window a candidate); windows by 64 bits besides
-the bucket's, taken from word hashes of 64 bits: a wrong removal needs a collision of two different windows there.
+Anchors are compared by the low 32 bits of their hash within a bucket (a chance equality only makes a window a candidate).  Windows are
+compared by 128 bits, two independent 64-bit hashes over two independent 64-bit hashes of each word: among 10**13 windows two different
+ones agree with a probability under 1e-12, and only such a pair could be taken for equal.
+
+A block sends a row to each bucket it has keys for, so rows number blocks times buckets, and never more than there are anchors.  A
+bucket holds ``BUCKET_BYTES`` of keys at most, about, by the corpus' size (anchors) or by the number of shared anchors (windows).
 
 Defined results: null and empty texts have no words; a window repeated within one document or among rows of one identifier is
 kept; a null identifier counts as larger than any other, and rows that have it keep what only they share; an empty table gives
@@ -21,6 +25,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +41,38 @@ WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text in a block; bytes of keys in a bucket, about.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
+#: Bytes of a window's keys and owner, and windows that hold one anchor.
+WINDOW_BYTES, WINDOWS = 24, PERIOD
 
-_M = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Odd multipliers of the two polynomials.
+_M, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _LAST = np.iinfo(np.int64).max
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, with a bounded memory."""
+    """Numbers of words, and two independent 64-bit hashes of each (the halves of a 128-bit one)."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+        self.first = self.second = np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        self.fresh.append(word)
+        k = self[word] = len(self)
+        return k
+
+    def of(self, words, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of n words.  The memory is bounded, but for the words of one block."""
+        if len(self) > 300_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+            self.first = self.second = np.zeros(0, np.uint64)
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        if self.fresh:
+            found = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.fresh)), np.uint64)
+            self.first, self.second = np.concatenate([self.first, found[::2]]), np.concatenate([self.second, found[1::2]])
+            self.fresh.clear()
+        return self.first[numbers], self.second[numbers]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,7 +82,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def spans_hash(h: np.ndarray, length: int) -> np.ndarray:
+def spans_hash(h: np.ndarray, length: int, m: int = _M) -> np.ndarray:
     """Hash of the ``length`` words from each place: a polynomial over word hashes, built by doubling."""
     n = len(h) - length + 1
     if n <= 0:
@@ -70,17 +93,17 @@ def spans_hash(h: np.ndarray, length: int) -> np.ndarray:
             if done is None:
                 done, have = power, width
             else:  # the part so far, then this one
-                done = done[: len(done) - width] * _power(width) + power[have : have + len(done) - width]
+                done = done[: len(done) - width] * _power(m, width) + power[have : have + len(done) - width]
                 have += width
         width *= 2
         if width > length:
             break
-        power = power[: len(power) - width // 2] * _power(width // 2) + power[width // 2 :]
+        power = power[: len(power) - width // 2] * _power(m, width // 2) + power[width // 2 :]
     return mixed(done[:n])
 
 
-def _power(k: int) -> np.uint64:
-    return np.uint64(pow(int(_M), k, 1 << 64))
+def _power(m: int, k: int) -> np.uint64:
+    return np.uint64(pow(m, k, 1 << 64))
 
 
 def _pack(batches):
@@ -92,7 +115,7 @@ def _pack(batches):
     def block():
         nonlocal ids, texts, size, k
         sizes = np.array([len(t) for t in texts], np.int64)
-        out = pa.RecordBatch.from_arrays([pa.array([pid << 32 | k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([coder.compress(b"".join(texts))], pa.binary())], names=["block", "ids", "sizes", "texts"])
+        out = pa.RecordBatch.from_arrays([pa.array([pid << 32 | k], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([coder.compress(b"".join(texts))], pa.binary())], names=["block", "size", "ids", "sizes", "texts"])
         ids, texts, size, k = [], [], 0, k + 1
         return out
 
@@ -116,29 +139,33 @@ def _unpack(row: dict):
     return np.array([_LAST if i is None else i for i in row["ids"]], np.int64), [raw[e - s : e] for s, e in zip(sizes, ends, strict=True)]
 
 
-def _hashes(known: WordHashes, raw: bytes) -> np.ndarray:
-    words = raw.split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class Block:
+    """The words of a block's documents, laid end to end: their hashes, and where each document begins and ends."""
 
+    def __init__(self, known: WordHashes, texts: list[bytes]):
+        self.words = [t.split() for t in texts]
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        self.n = int(sizes.sum())
+        self.first, self.second = known.of(chain.from_iterable(self.words), self.n)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
-def _anchor_places(n: int) -> np.ndarray:
-    """Cover places of a document of n words whose anchor is within it."""
-    if n < WINDOW:
-        return np.zeros(0, np.int64)
-    at = np.arange(n - ANCHOR + 1)
-    return at[np.isin(at % PERIOD, COVER)]
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and place of each anchor: at cover places of documents that are long enough for a window."""
+        begin, end = self.begins[self.doc], self.ends[self.doc]
+        place = np.arange(self.n)
+        at = np.flatnonzero(np.isin((place - begin) % PERIOD, COVER) & (place + ANCHOR <= end) & (end - begin >= WINDOW))
+        return spans_hash(self.first, ANCHOR)[at], at
 
+    def around(self, at: np.ndarray) -> np.ndarray:
+        """Places of the windows that hold one of the anchors at these places."""
+        low, high = np.maximum(at - PERIOD + 1, self.begins[self.doc[at]]), np.minimum(at, self.ends[self.doc[at]] - WINDOW)
+        return np.flatnonzero(np.cumsum(np.bincount(low, minlength=self.n + 1) - np.bincount(high + 1, minlength=self.n + 1)) > 0)
 
-def _block_anchors(known: WordHashes, texts: list[bytes]):
-    """Word hashes of each document, and of all anchors: hash, document, place."""
-    words = [_hashes(known, raw) for raw in texts]
-    found = []
-    for d, h in enumerate(words):
-        at = _anchor_places(len(h))
-        if len(at):
-            found.append((spans_hash(h, ANCHOR)[at], np.full(len(at), d, np.int32), at.astype(np.int32)))
-    hashes, doc, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
-    return words, hashes, doc, place
+    def inside(self, at: np.ndarray) -> np.ndarray:
+        """Those of the places whose window ends within the document."""
+        return at[at + WINDOW <= self.ends[self.doc[at]]]
 
 
 def _groups(hashes: np.ndarray, doc: np.ndarray):
@@ -165,9 +192,9 @@ def _send_anchors(buckets: int):
         known = WordHashes()
         for batch in batches:
             for row in batch.to_pylist():
-                _, texts = _unpack(row)
-                _, hashes, doc, _ = _block_anchors(known, texts)
-                ordered, _, several = _groups(hashes, doc)
+                block = Block(known, _unpack(row)[1])
+                hashes, at = block.anchors()
+                ordered, _, several = _groups(hashes, block.doc[at])
                 cuts = _bucket_cuts(ordered, buckets)
                 low = ordered.astype(np.uint32)
                 full = np.flatnonzero(np.diff(cuts))
@@ -198,10 +225,11 @@ def _match_anchors(table: pa.Table) -> pa.Table:
     shared[by] |= again
     parts = np.split(shared, np.cumsum(sizes)[:-1])
     some = [k for k, p in enumerate(parts) if p.any()]
-    return pa.table({"block": table.column("block").take(pa.array(some, pa.int64())), "bucket": table.column("bucket").take(pa.array(some, pa.int64())), "shared": pa.array([np.packbits(parts[k]).tobytes() for k in some], pa.binary())})
+    take = lambda name: table.column(name).take(pa.array(some, pa.int64()))
+    return pa.table({"block": take("block"), "bucket": take("bucket"), "n": pa.array([int(parts[k].sum()) for k in some], pa.int64()), "shared": pa.array([np.packbits(parts[k]).tobytes() for k in some], pa.binary())})
 
 
-def _send_windows(buckets: int):
+def _send_windows(anchor_buckets: int, buckets: int):
     """The task: blocks with their anchors' answers to candidate windows by bucket."""
 
     def task(batches):
@@ -209,70 +237,88 @@ def _send_windows(buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, texts = _unpack(row)
-                words, hashes, doc, place = _block_anchors(known, texts)
-                ordered, group, _ = _groups(hashes, doc)
-                cuts = _bucket_cuts(ordered, buckets)
+                block = Block(known, texts)
+                hashes, at = block.anchors()
+                ordered, group, _ = _groups(hashes, block.doc[at])
+                cuts = _bucket_cuts(ordered, anchor_buckets)
                 shared = np.zeros(len(ordered), bool)
                 for answer in row["answers"]:
                     a, b = cuts[answer["bucket"]], cuts[answer["bucket"] + 1]
                     shared[a:b] = np.unpackbits(np.frombuffer(answer["shared"], np.uint8), count=b - a)
-                hit = np.flatnonzero(shared[group])
-                windows, owner = [], []
-                borders = np.searchsorted(doc[hit], np.arange(len(words) + 1))
-                for d in np.flatnonzero(np.diff(borders)):
-                    at = place[hit[borders[d] : borders[d + 1]]]
-                    n = len(words[d]) - WINDOW + 1
-                    near = np.zeros(n + 1, np.int32)
-                    np.add.at(near, np.maximum(at - PERIOD + 1, 0), 1)
-                    np.add.at(near, np.minimum(at + 1, n), -1)
-                    start = np.flatnonzero(np.cumsum(near[:n]) > 0)
-                    windows.append(spans_hash(words[d], WINDOW)[start])
-                    owner.append(np.full(len(start), ids[d], np.int64))
-                if not windows:
+                starts = block.around(at[shared[group]])
+                if not len(starts):
                     continue
-                windows, owner = np.concatenate(windows), np.concatenate(owner)
-                by = np.lexsort((owner, windows))
-                windows, owner = windows[by], owner[by]
-                new = np.ones(len(by), bool)
-                new[1:] = windows[1:] != windows[:-1]
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(by)) - 1
-                windows, least, several = windows[first], owner[first], owner[last] != owner[first]
-                cuts = _bucket_cuts(windows, buckets)
+                first, second, owner = spans_hash(block.first, WINDOW)[starts], spans_hash(block.second, WINDOW, _M2)[starts], ids[block.doc[starts]]
+                by = np.lexsort((owner, second, first))
+                first, second, owner = first[by], second[by], owner[by]
+                starts = np.flatnonzero(_changes(first, second))
+                last = np.append(starts[1:], len(by)) - 1
+                first, second, least, several = first[starts], second[starts], owner[starts], owner[last] != owner[starts]
+                cuts = _bucket_cuts(first, buckets)
                 full = np.flatnonzero(np.diff(cuts))
                 cut = lambda x, b: x[cuts[b] : cuts[b + 1]]
+                columns = [pa.array([cut(x, b).tobytes() for b in full], pa.binary()) for x in (first, second, least)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full.astype(np.int32)),
-                        pa.array(np.full(len(full), row["block"], np.int64)),
-                        pa.array([cut(windows, b).tobytes() for b in full], pa.binary()),
-                        pa.array([cut(least, b).tobytes() for b in full], pa.binary()),
-                        pa.array([np.packbits(cut(several, b)).tobytes() for b in full], pa.binary()),
-                    ],
-                    names=["bucket", "block", "keys", "least", "several"],
+                    [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row["block"], np.int64)), *columns, pa.array([np.packbits(cut(several, b)).tobytes() for b in full], pa.binary())],
+                    names=["bucket", "block", "first", "second", "least", "several"],
                 )
 
     return task
 
 
+def _changes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where an ordered pair of keys differs from the one before."""
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return new
+
+
 def _match_windows(table: pa.Table) -> pa.Table:
     """Of one bucket: for each block, its windows that a smaller document has, with the smallest identifier."""
-    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-    sizes = np.array([len(k) for k in keys])
-    every = np.concatenate(keys)
-    least = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("least")])
-    several = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip(table.column("several"), sizes, strict=True)]).astype(bool)
-    by = np.argsort(every, kind="stable")
-    ordered = every[by]
-    new = np.ones(len(by), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+    read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
+    firsts = read("first", np.uint64)
+    sizes = np.array([len(k) for k in firsts])
+    first, second, least = np.concatenate(firsts), np.concatenate(read("second", np.uint64)), np.concatenate(read("least", np.int64))
+    several = np.concatenate([np.unpackbits(x, count=n) for x, n in zip(read("several", np.uint8), sizes, strict=True)]).astype(bool)
+    by = np.lexsort((second, first))
+    new = _changes(first[by], second[by])
     smallest = np.empty(len(by), np.int64)
     smallest[by] = np.minimum.reduceat(least[by], np.flatnonzero(new))[np.cumsum(new) - 1]
     useful = (smallest < least) | several
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     some = [k for k in range(len(sizes)) if useful[cuts[k] : cuts[k + 1]].any()]
     part = lambda x, k: x[cuts[k] : cuts[k + 1]][useful[cuts[k] : cuts[k + 1]]].tobytes()
-    return pa.table({"block": table.column("block").take(pa.array(some, pa.int64())), "keys": pa.array([part(every, k) for k in some], pa.binary()), "smallest": pa.array([part(smallest, k) for k in some], pa.binary())})
+    return pa.table({"block": table.column("block").take(pa.array(some, pa.int64())), **{n: pa.array([part(x, k) for k in some], pa.binary()) for n, x in (("first", first), ("second", second), ("smallest", smallest))}})
+
+
+class Answers:
+    """Ordered windows of a block with the smallest identifiers that have them."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, smallest: np.ndarray):
+        by = np.lexsort((second, first))
+        self.first, self.second, self.smallest = first[by], second[by], smallest[by]
+        starts = np.flatnonzero(np.concatenate([[True], self.first[1:] != self.first[:-1]])) if len(by) else np.zeros(0, int)
+        self.longest = int(np.diff(np.append(starts, len(by))).max(initial=0))  # windows with one first hash: 1, but for chance
+
+    def __len__(self):
+        return len(self.first)
+
+    def may_hold(self, first: np.ndarray) -> np.ndarray:
+        """Places of the windows whose first hash is there; a table of its leading bits rules out most of the others at once."""
+        table = np.zeros(1 << 20, bool)
+        table[self.first >> np.uint64(44)] = True
+        at = np.flatnonzero(table[first >> np.uint64(44)])
+        return at[self.first[np.minimum(np.searchsorted(self.first, first[at]), len(self) - 1)] == first[at]]
+
+    def places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Where each window is, -1 where it isn't."""
+        out = np.full(len(first), -1, np.int64)
+        at = np.searchsorted(self.first, first)
+        for k in range(self.longest):
+            j = np.minimum(at + k, len(self) - 1)
+            hit = (self.first[j] == first) & (self.second[j] == second)
+            out[hit] = j[hit]
+        return out
 
 
 def covered(starts: np.ndarray, n: int) -> np.ndarray:
@@ -291,27 +337,22 @@ def _remove(with_text: bool):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, texts = _unpack(row)
-                answers = row["answers"] or []
-                keys = np.concatenate([np.frombuffer(a["keys"], np.uint64) for a in answers] or [np.zeros(0, np.uint64)])
-                smallest = np.concatenate([np.frombuffer(a["smallest"], np.int64) for a in answers] or [np.zeros(0, np.int64)])
-                by = np.argsort(keys)
-                keys, smallest = keys[by], smallest[by]
-                n_words, n_removed, digests, kept_texts = [], [], [], []
-                for i, raw in zip(ids, texts, strict=True):
-                    words = raw.split()
-                    kept, removed = words, 0
-                    if len(keys) and len(words) >= WINDOW:
-                        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                        windows = spans_hash(h, WINDOW)
-                        k = np.minimum(np.searchsorted(keys, windows), len(keys) - 1)
-                        starts = np.flatnonzero((keys[k] == windows) & (smallest[k] < i))
-                        if len(starts):
-                            gone = covered(starts, len(words))
-                            removed = int(gone.sum())
-                            kept = [words[p] for p in np.flatnonzero(~gone)]
+                get = lambda name, kind: np.concatenate([np.frombuffer(a[name], kind) for a in row["answers"] or []] or [np.zeros(0, kind)])  # noqa: B023, E731
+                answers = Answers(get("first", np.uint64), get("second", np.uint64), get("smallest", np.int64))
+                block = Block(known, texts)
+                gone = np.zeros(block.n, bool)
+                if len(answers):
+                    first = spans_hash(block.first, WINDOW)
+                    starts = block.inside(answers.may_hold(first))
+                    k = answers.places(first[starts], spans_hash(block.second, WINDOW, _M2)[starts])
+                    gone = covered(starts[(k >= 0) & (answers.smallest[k] < ids[block.doc[starts]])], block.n)
+                n_removed = np.bincount(block.doc[gone], minlength=len(ids))
+                n_words, digests, kept_texts = block.ends - block.begins, [], []
+                for d, words in enumerate(block.words):
+                    kept = words
+                    if n_removed[d]:
+                        kept = list(compress(words, (~gone[block.begins[d] : block.ends[d]]).tolist()))
                     joined = b" ".join(kept)
-                    n_words.append(len(words))
-                    n_removed.append(removed)
                     digests.append(hashlib.sha256(joined).hexdigest())
                     kept_texts.append(joined.decode() if with_text else None)
                 columns = [pa.array(row["ids"], pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
@@ -329,15 +370,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = common.materialise(rows.mapInArrow(_pack, "block long, ids array<long>, sizes binary, texts binary"), "blocks")
-    buckets = max(2 * common.partitions(spark), -(-3 * BLOCK_BYTES * blocks.count() // BUCKET_BYTES))  # 16 bytes a window, a word's text has 5 or more
-    blocks = blocks.where("block IS NOT NULL")  # both joins below then take one and the same exchange of the blocks
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
-    anchors = blocks.mapInArrow(_send_anchors(buckets), "bucket int, block long, keys binary, several binary")
-    shared = anchors.groupBy("bucket").applyInArrow(_match_anchors, "block long, bucket int, shared binary")
+    blocks = common.materialise(rows.mapInArrow(_pack, "block long, size long, ids array<long>, sizes binary, texts binary"), "blocks")
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    blocks = blocks.where("block IS NOT NULL").drop("size")  # both joins below then take one and the same exchange of the blocks
+    anchor_buckets = max(2 * common.partitions(spark), -(-size // 3 // BUCKET_BYTES))  # 3 keys of 4 bytes for 7 words, each of 6 bytes or so
+    anchors = blocks.mapInArrow(_send_anchors(anchor_buckets), "bucket int, block long, keys binary, several binary")
+    shared = common.materialise(anchors.groupBy("bucket").applyInArrow(_match_anchors, "block long, bucket int, n long, shared binary"), "shared")
+    found = shared.agg(F.sum("n")).first()[0] or 0
+    buckets = max(2 * common.partitions(spark), -(-found * WINDOWS * WINDOW_BYTES // BUCKET_BYTES))
     answers = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared")).alias("answers"))
-    windows = blocks.join(answers, "block").mapInArrow(_send_windows(buckets), "bucket int, block long, keys binary, least binary, several binary")
-    smallest = windows.groupBy("bucket").applyInArrow(_match_windows, "block long, keys binary, smallest binary")
-    finals = smallest.groupBy("block").agg(F.collect_list(F.struct("keys", "smallest")).alias("answers"))
+    windows = blocks.join(answers, "block").mapInArrow(_send_windows(anchor_buckets, buckets), "bucket int, block long, first binary, second binary, least binary, several binary")
+    smallest = windows.groupBy("bucket").applyInArrow(_match_windows, "block long, first binary, second binary, smallest binary")
+    finals = smallest.groupBy("block").agg(F.collect_list(F.struct("first", "second", "smallest")).alias("answers"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return blocks.join(finals, "block", "left").mapInArrow(_remove(with_text), schema).withColumnRenamed("id", id_col)
