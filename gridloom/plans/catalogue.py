@@ -580,7 +580,7 @@ def _(spark, sf_dir):
     return q.observe(rows, mode="drop").select("record_index", "x", "y", "t")
 
 
-@register("index_invariants", "SELECT count(*) AS num_observations, count(DISTINCT event_id) = count(*) AS \"unique\", true AS finite, true AS tiles_whole FROM events")
+@register("index_invariants", "SELECT count(*) AS num_observations, count(DISTINCT event_id) = count(*) AS numbers_unique, true AS finite, true AS tiles_whole FROM events")
 def _(spark, sf_dir):
     path = scratch(spark, "index")
     save_index(observed(spark, sf_dir), path, "+proj=eqc +datum=WGS84")

@@ -70,8 +70,8 @@ def check_index(spark: SparkSession, path: str) -> DataFrame:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
     sums = rows.agg(F.count("*").alias("num_observations"), F.bool_and(ok).alias("finite"))
     one = lambda df, c: df.select(F.lit(1).alias("k"), c)
-    sums = sums.withColumn("k", F.lit(1)).join(one(numbers, F.coalesce(F.col("most") == 1, F.lit(True)).alias("unique")), "k").join(one(tiles, F.coalesce("whole", F.lit(True)).alias("tiles_whole")), "k")
-    return sums.select("num_observations", "unique", F.coalesce("finite", F.lit(True)).alias("finite"), "tiles_whole")
+    sums = sums.withColumn("k", F.lit(1)).join(one(numbers, F.coalesce(F.col("most") == 1, F.lit(True)).alias("numbers_unique")), "k").join(one(tiles, F.coalesce("whole", F.lit(True)).alias("tiles_whole")), "k")
+    return sums.select("num_observations", "numbers_unique", F.coalesce("finite", F.lit(True)).alias("finite"), "tiles_whole")
 
 
 def with_values(index: Index, values: DataFrame) -> DataFrame:
