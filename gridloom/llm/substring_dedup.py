@@ -5,7 +5,7 @@ i + d and j + d in the difference cover {0, 1, 3} modulo 7; the 7 words from the
 hash 7-word anchors at 3 of 7 places: any shared window shares an aligned anchor.  Around anchors that two documents share, each
 match is then extended to all 13-word windows that hold the anchor; the smallest document that has a window keeps it.
 
-Documents are packed once into blocks of a few megabytes (a written table).  A block sends each distinct anchor once, however
+Documents are packed once into blocks of some megabytes (a written table).  A block sends each distinct anchor once, however
 many of its documents have it, as 4 bytes in a bucket; the bucket answers with one bit.  Windows then travel the same way with
 the smallest identifier of the block, and the answer is the smallest of all.  A passage that a third of all documents share
 thus costs one entry for each block, never one for each document or pair.
@@ -14,8 +14,9 @@ Anchors are compared by the low 32 bits of their hash within a bucket (a chance
 compared by 128 bits, two independent 64-bit hashes over two independent 64-bit hashes of each word: among 10**13 windows two different
 ones agree with a probability under 1e-12, and only such a pair could be taken for equal.
 
-A block sends a row to each bucket it has keys for, so rows number blocks times buckets, and never more than there are anchors.  A
-bucket holds ``BUCKET_BYTES`` of keys at most, about, by the corpus' size (anchors) or by the number of shared anchors (windows).
+A block sends a row to each bucket it has keys for.  The sizes of blocks and buckets both grow with the square root of the corpus, so
+rows grow in proportion to it; where memory ends that growth (at some 8 GB for buckets, 130 GB for blocks) rows get thinner instead,
+and there are never more of them than anchors.  Buckets are cut by the corpus' size (anchors) or the number of shared anchors (windows).
 
 Defined results: null and empty texts have no words; a window repeated within one document or among rows of one identifier is
 kept; a null identifier counts as larger than any other, and rows that have it keep what only they share; an empty table gives
@@ -25,6 +26,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import chain, compress
 
 import numpy as np
@@ -40,8 +42,8 @@ from . import common
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bytes of text in a block; bytes of keys in a bucket, about.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
+#: Least and most bytes of text in a block, and of keys in a bucket, about.
+BLOCK_BYTES, BUCKET_BYTES = (1 << 20, 16 << 20), (8 << 20, 32 << 20)
 #: Bytes of a window's keys and owner, and windows that hold one anchor.
 WINDOW_BYTES, WINDOWS = 24, PERIOD
 
@@ -106,8 +108,12 @@ def _power(m: int, k: int) -> np.uint64:
     return np.uint64(pow(m, k, 1 << 64))
 
 
-def _pack(batches):
-    """Blocks of documents: block, ids, sizes, zstd of the texts one after another."""
+def _pack(limit: int):
+    """The task: id, text to blocks of documents: block, bytes of text, ids, sizes, zstd of the texts one after another."""
+    return lambda batches: _packed(batches, limit)
+
+
+def _packed(batches, limit: int):
     pid, k = TaskContext.get().partitionId(), 0
     coder = zstandard.ZstdCompressor(level=1)
     ids, texts, size = [], [], 0
@@ -115,14 +121,14 @@ def _pack(batches):
     def block():
         nonlocal ids, texts, size, k
         sizes = np.array([len(t) for t in texts], np.int64)
-        out = pa.RecordBatch.from_arrays([pa.array([pid << 32 | k], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([coder.compress(b"".join(texts))], pa.binary())], names=["block", "size", "ids", "sizes", "texts"])
+        out = pa.RecordBatch.from_arrays([pa.array([pid << 32 | k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()), pa.array([coder.compress(b"".join(texts))], pa.binary())], names=["block", "ids", "sizes", "texts"])
         ids, texts, size, k = [], [], 0, k + 1
         return out
 
     for batch in batches:
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             raw = (text or "").encode()
-            if texts and size + len(raw) > BLOCK_BYTES:
+            if texts and size + len(raw) > limit:
                 yield block()
             ids.append(i)
             texts.append(raw)
@@ -370,14 +376,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = common.materialise(rows.mapInArrow(_pack, "block long, size long, ids array<long>, sizes binary, texts binary"), "blocks")
-    size = blocks.agg(F.sum("size")).first()[0] or 0
-    blocks = blocks.where("block IS NOT NULL").drop("size")  # both joins below then take one and the same exchange of the blocks
-    anchor_buckets = max(2 * common.partitions(spark), -(-size // 3 // BUCKET_BYTES))  # 3 keys of 4 bytes for 7 words, each of 6 bytes or so
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    between = lambda x, least, most: min(max(x, least), most)
+    block_bytes, bucket_bytes = between(math.isqrt(size >> 9), *BLOCK_BYTES), between(math.isqrt(size << 17), *BUCKET_BYTES)
+    fewest = 2 * spark.sparkContext.defaultParallelism
+    blocks = common.materialise(rows.mapInArrow(_pack(block_bytes), "block long, ids array<long>, sizes binary, texts binary"), "blocks")
+    blocks = blocks.where("block IS NOT NULL")  # both joins below then take one and the same exchange of the blocks
+    anchor_buckets = max(fewest, -(-size // 3 // bucket_bytes))  # 3 keys of 4 bytes for 7 words, each of 6 bytes or so
     anchors = blocks.mapInArrow(_send_anchors(anchor_buckets), "bucket int, block long, keys binary, several binary")
     shared = common.materialise(anchors.groupBy("bucket").applyInArrow(_match_anchors, "block long, bucket int, n long, shared binary"), "shared")
     found = shared.agg(F.sum("n")).first()[0] or 0
-    buckets = max(2 * common.partitions(spark), -(-found * WINDOWS * WINDOW_BYTES // BUCKET_BYTES))
+    buckets = max(fewest, -(-found * WINDOWS * WINDOW_BYTES // bucket_bytes))
     answers = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared")).alias("answers"))
     windows = blocks.join(answers, "block").mapInArrow(_send_windows(anchor_buckets, buckets), "bucket int, block long, first binary, second binary, least binary, several binary")
     smallest = windows.groupBy("bucket").applyInArrow(_match_windows, "block long, first binary, second binary, smallest binary")

@@ -60,8 +60,8 @@ def test_substring_dedup(docs, rows):
 
 
 def test_substring_dedup_in_many_blocks_and_buckets(docs, rows, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2000)
-    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 5000)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", (2000, 2000))
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", (5000, 5000))
     assert collected(substring_dedup.substring_dedup(docs)) == sorted(brute.substring(rows), key=repr)
 
 
