@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import brute
 import numpy as np
@@ -162,7 +163,7 @@ def around_a_hub(hub, j):
 
 def test_near_dedup_in_one_crowded_key(spark):
     """Far more components than LISTED share a passage, and half of the links run past the hub: with the default constants."""
-    n, hub = 150, [f"c{k}" for k in range(100)]
+    n, hub = 90, [f"c{k}" for k in range(100)]
     found = [around_a_hub(hub, j) for j in range(n)]
     rows = [(0, hub), *((1 + j, m) for j, (m, _) in enumerate(found)), *((1 + n + j, x) for j, (_, x) in enumerate(found))]
     got = near_dedup.near_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3), shingle=1)
@@ -172,7 +173,7 @@ def test_near_dedup_in_one_crowded_key(spark):
 def test_near_dedup_in_many_chains(spark):
     """Chains h, m, x with h-m and m-x linked and h-x not: with the default constants."""
     rows = []
-    for j in range(150):
+    for j in range(80):
         hub = [f"c{j}_{k}" for k in range(100)]
         rows += [(3 * j + k, " ".join(w)) for k, w in enumerate((hub, *around_a_hub(hub, j)))]
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=1)
@@ -364,6 +365,32 @@ def test_language_identification_never_reads_held_out_labels(spark):
     assert {r.lang_pred for r in language_id.identify(docs).collect()} == {"und"}
 
 
+def test_a_text_of_many_megabytes(spark):
+    """Whole, whatever its length: one text of 21 MB, its near copy, and a short text that shares a passage with both."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k:05d}" for k in range(50_000)]
+    long = rng.choices(vocabulary, k=3_000_000)
+    passage = [f"p{k}" for k in range(60)]
+    long[2_900_000:2_900_000] = passage
+    near = list(long)
+    near[17] = "other"
+    rows = [(1, " ".join(passage)), (2, " ".join(long)), (3, " ".join(near))]
+    docs = common.materialise(spark.createDataFrame(rows, "doc_id long, text string"), "long")
+    n = len(long)
+    assert len(rows[1][1]) > 20_000_000
+    removed = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert removed == {1: (60, 0), 2: (n, 60), 3: (n, n - 1)}
+    items = spark.createDataFrame([("q", " ".join(passage[20:45]))], "item_id string, text string")
+    hits = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.digest(decontaminate.find_contamination(docs, items)).collect()}
+    assert hits == {1: (60, 25), 2: (n, 25), 3: (n, 25)}
+    sizes = {i: len(set(zip(w, w[1:]))) for i, w in ((1, passage), (2, long), (3, near))}
+    groups = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs, shingle=2).collect()}
+    assert groups == {1: (sizes[1], 1), 2: (sizes[2], 2), 3: (sizes[3], 2)}
+    counts = token_counts.Counts(token_counts.Pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    tokens = lambda words: sum(n * counts[token_counts.SPACE + w] for w, n in Counter(words).items())
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()} == {1: tokens(passage), 2: tokens(long), 3: tokens(near)}
+
+
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "item_id string, text string")
     results = [
