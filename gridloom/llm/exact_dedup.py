@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,11 +55,12 @@ def _runs(batches):
         emitted = True
         ids = rows.column("id").combine_chunks()
         text = pc.if_else(pa.array(first & (edge > 0)), rows.column("norm").combine_chunks(), pa.scalar(None, pa.string()))
-        names = ["pid", "id", "keep_id", "run_size", "first", "edge", "sha", "edge_text"]
+        names = ["pid", "id", "mark", "keep_id", "run_size", "first", "edge", "sha", "edge_text"]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n, pid, np.int32)),
                 ids,
+                rows.column("mark").combine_chunks(),
                 ids.take(pa.array(np.repeat(starts, sizes))),
                 pa.array(np.repeat(sizes, sizes).astype(np.int64)),
                 pa.array(first),
@@ -78,14 +79,14 @@ def _runs(batches):
         norm = part.column("norm")
         kept = norm.slice(0, 1) if head else norm.slice(0, 0)
         rest = pa.nulls(part.num_rows - len(kept), pa.string())
-        return pa.RecordBatch.from_arrays([part.column("id"), pa.concat_arrays([kept, rest]), part.column("sha")], names=["id", "norm", "sha"])
+        return pa.RecordBatch.from_arrays([part.column("id"), pa.concat_arrays([kept, rest]), part.column("sha"), part.column("mark")], names=["id", "norm", "sha", "mark"])
 
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         norm = batch.column("norm").cast(pa.string())
-        batch = pa.RecordBatch.from_arrays([batch.column("id"), norm, batch.column("sha")], names=["id", "norm", "sha"])
+        batch = pa.RecordBatch.from_arrays([batch.column("id"), norm, batch.column("sha"), batch.column("mark")], names=["id", "norm", "sha", "mark"])
         same = np.empty(n, bool)
         same[0] = carry is not None and norm[0].as_py() == carry
         same[1:] = pc.equal(norm.slice(1), norm.slice(0, n - 1)).to_numpy(zero_copy_only=False)
@@ -118,17 +119,18 @@ def _chains(edges: list, joined: set[tuple[int, int]]) -> list[tuple]:
     return [(e.pid, e.edge, c[0].keep_id, sum(x.run_size for x in c), k == 0) for c in chains if len(c) > 1 for k, e in enumerate(c)]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 and, if given, the whole number ``mark`` of the row."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("sha", F.sha2("norm", 256))
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), (F.lit(None) if mark is None else mark).cast("long").alias("mark")).withColumn("sha", F.sha2("norm", 256))
     order = [F.substring(F.encode("norm", "UTF-8"), 1, HEAD), F.col("sha")]
     ordered = rows.repartitionByRange(*order, F.col("id").asc_nulls_last()).sortWithinPartitions(*order, "norm", F.col("id").asc_nulls_last())
     schema = T.StructType(
         [
             T.StructField("pid", T.IntegerType()),
             T.StructField("id", kind),
+            T.StructField("mark", T.LongType()),
             T.StructField("keep_id", kind),
             T.StructField("run_size", T.LongType()),
             T.StructField("first", T.BooleanType()),
@@ -160,4 +162,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("new_size", "run_size").alias("group_size"),
         (F.col("first") & F.coalesce("head", F.lit(True))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *(["mark"] if mark is not None else []),
     )

@@ -28,7 +28,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -121,7 +121,7 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
 
 
 def _describe(size: int):
-    """The task: id, text to id, n, the set's digest, band keys, checks."""
+    """The task: id, text, mark to id, mark, n, the set's digest, band keys, checks."""
 
     def task(batches):
         known = _Words()
@@ -140,7 +140,7 @@ def _describe(size: int):
                     sets.append(None)
                     bands.append(None)
                     checks.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.binary()), pa.array(checks, pa.binary())], names=["id", "n", "set_key", "bands", "checks"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.binary()), pa.array(checks, pa.binary())], names=["id", "mark", "n", "set_key", "bands", "checks"])
 
     return task
 
@@ -309,22 +309,22 @@ def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(wanted, "id", "left_semi")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, mark: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept and, if given, the whole number ``mark`` of the row."""
     common.bounded_batches(docs.sparkSession)
     with common.temporary(docs.sparkSession) as kept:
-        described, classes, labels = _linked_components(docs, id_col, text_col, shingle, percent)
+        described, classes, labels = _linked_components(docs, id_col, text_col, shingle, percent, F.lit(None) if mark is None else mark)
         kept += [described, classes, labels]
-    member = described.select("id", "n", "set_key").join(classes.select(F.col("set_key").alias("of"), F.col("id").alias("rep")), F.col("set_key") == F.col("of"), "left")
+    member = described.select("id", "mark", "n", "set_key").join(classes.select(F.col("set_key").alias("of"), F.col("id").alias("rep")), F.col("set_key") == F.col("of"), "left")
     found = _with_comp(member.withColumn("rep", F.coalesce("rep", "id")), labels, "rep", "component_id")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *(["mark"] if mark is not None else []))
 
 
-def _linked_components(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked_components(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, mark: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written tables: each row's description, the classes, the components of those that are linked."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = common.materialise(rows.mapInArrow(_describe(shingle), "id long, n long, set_key binary, bands binary, checks binary"), "minhash")
+    described = common.materialise(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.cast("long").alias("mark")).mapInArrow(_describe(shingle), "id long, mark long, n long, set_key binary, bands binary, checks binary"), "minhash")
     classes = described.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min_by(F.struct("bands", "checks", "n"), "id").alias("s"), F.min("id").alias("id"))
     classes = common.materialise(classes.select("id", "set_key", "s.bands", "s.checks", "s.n"), "classes")
     buckets = max(2 * common.partitions(spark), -(-16 * BANDS * classes.count() // BUCKET_BYTES))

@@ -56,8 +56,7 @@ def test_stages(spark, corpus):
         if name == "exact_dedup":
             now = expected_after_exact(now)
         elif name == "near_dedup":
-            kept = {r[0] for r in brute.near(now, 5) if r[3]}
-            now = [r for r in now if r[0] in kept]
+            now = [r for r, decided in zip(now, brute.near(now, 5), strict=True) if decided[3]]
         elif name == "decontamination":
             hits = {e[0]: e for e in brute.contamination(now, items)}
             assert any(e[5] for e in hits.values())
