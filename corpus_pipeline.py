@@ -1,8 +1,8 @@
 """The corpus pipeline: toxicity, exact dedup, MinHash near-dedup, benchmark decontamination, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next one.  All
-but the last return the columns of ``documents``.  Rows of one identifier and equal text count as one row from the second stage on;
-rows without an identifier pass all stages that decide by identifier, unless an equal text stays in their place.
+but the last return the columns of ``documents``.  Rows of one identifier and equal text count as one row from the second stage on.
+A row without an identifier is told apart by its text; it goes where a document with an identifier has an equal text or equal shingles.
 """
 
 from __future__ import annotations
@@ -20,24 +20,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
-def _keep(docs: DataFrame, decided: DataFrame, **keys) -> DataFrame:
-    """Rows of ``docs`` whose keys (name: column of docs) are among the kept ones.  Columns of any name stay as they are."""
-    chosen = decided.where("kept").select(*keys).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), *(c.alias(f"_{n}") for n, c in keys.items()))
-    return rows.join(chosen, [F.col(f"_{n}").eqNullSafe(F.col(n)) for n in keys], "left_semi")
+def _mark():
+    """A row's text as a number; together with the identifier it names a row."""
+    return F.xxhash64("text", F.octet_length("text"))
+
+
+def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose identifier and mark are among the kept ones: _key, and all columns, whatever their names, in _row."""
+    key = lambda mark: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), mark.cast("string")).alias("_key")
+    chosen = decided.where("kept").select(key(F.col("mark"))).distinct()
+    return docs.select(key(_mark()), F.struct("*").alias("_row")).join(chosen, "_key", "left_semi")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest identifier stays."""
-    decided = exact_dedup.exact_dedup(docs)
-    kept = _keep(docs, decided, doc_id=F.col("doc_id"), text_sha256=F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    once = Window.partitionBy("_doc_id", "_text_sha256").orderBy("_row.text", F.xxhash64("_row"))
+    kept = _keep(docs, exact_dedup.exact_dedup(docs, mark=_mark()))
+    once = Window.partitionBy("_key").orderBy("_row.text", F.xxhash64("_row"))
     return kept.withColumn("_k", F.row_number().over(once)).where("_k = 1").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: shingles of five words, similarity 0.8 or more."""
-    return _keep(docs, near_dedup.near_dedup(docs, shingle=5, percent=80), doc_id=F.col("doc_id")).select("_row.*")
+    return _keep(docs, near_dedup.near_dedup(docs, shingle=5, percent=80, mark=_mark())).select("_row.*")
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
