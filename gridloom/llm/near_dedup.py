@@ -11,9 +11,12 @@
 5. Survivors are verified on their full sets: first the best hub of each document, then all that still joins two components.
 6. A star says nothing about two members that both differ from its hub.  Where a key still holds several components, all its
    other pairs are verified on full sets too, in blocks that count common shingles with array operations; nothing is sampled.
+   A key's members go there once each.  Its pairs of components are listed, which spares meeting again in other keys, only
+   where that asks about no more documents than the key has members.
 7. Components come from minimum labels with pointer jumping; every round is a written table.
 
-Step 6 works on components, so its cost is the number of outsiders times the size of what they border on.
+So step 6 sends a row at most for each document and for each member of a key, times the blocks of a key past ``BLOCK`` members;
+its comparisons, within the blocks, are the number of a key's outsiders times its members.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer words than a shingle is
 its whole sequence; rows without an identifier don't link others, and take the component of a document with an equal set, else
@@ -256,17 +259,17 @@ def _verify_block(size: int, percent: int):
 
     def task(table: pa.Table) -> pa.Table:
         known = _Words()
-        rows = table.select(["id", "comp", "query", "text"]).to_pydict()
+        rows = table.select(["id", "comp", "base", "asks", "text"]).to_pydict()
         sets = [shingle_set(known, t, size) for t in rows["text"]]
-        base = [k for k, q in enumerate(rows["query"]) if not q]
+        base = [k for k, b in enumerate(rows["base"]) if b]
         out = []
         if base:
             sizes = np.array([len(sets[k]) for k in base])
             every, place = np.unique(np.concatenate([sets[k] for k in base]), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             ids, comps = np.array([rows["id"][k] for k in base]), np.array([rows["comp"][k] for k in base])
-            for k, q in enumerate(rows["query"]):
-                if not q:
+            for k, asks in enumerate(rows["asks"]):
+                if not asks:
                     continue
                 at = np.minimum(np.searchsorted(every, sets[k]), len(every) - 1)
                 mark = np.zeros(len(every), np.int32)
@@ -355,30 +358,33 @@ def _linked_components(docs: DataFrame, id_col: str, text_col: str, shingle: int
     return described, classes, labels
 
 
-def _pairs_of(table: pa.Table) -> pa.Table:
-    """Of one key: all pairs of its components (LISTED at most)."""
-    comps = np.unique(table.column("comp").to_numpy())
-    i, j = np.triu_indices(len(comps), 1)
-    return pa.table({"p": pa.array(comps[i]), "q": pa.array(comps[j])})
+def _contests_of(table: pa.Table) -> pa.Table:
+    """Of one key: each pair of its components (LISTED at most) as the larger one and the smaller one, or else the key.
+
+    All members of the smaller one are asked about; where these are more rows than the key's members, the key goes by itself.
+    """
+    comps, sizes = (table.column(c).to_numpy() for c in ("comp", "size"))
+    by = np.lexsort((comps, -sizes))
+    comps, sizes = comps[by], sizes[by]
+    if np.arange(len(by)) @ sizes > table.column("members")[0].as_py():
+        return pa.table({"key": table.column("key")[:1], "gid": pa.nulls(1, pa.int64()), "small": pa.nulls(1, pa.int64()), "alone": pa.nulls(1, pa.bool_())})
+    i, j = np.triu_indices(len(by), 1)
+    return pa.table({"key": pa.nulls(len(i), pa.int64()), "gid": pa.array(comps[i]), "small": pa.array(comps[j]), "alone": pa.array(sizes[i] == 1)})
 
 
 def _within_keys(stars: DataFrame, pairs: DataFrame, labels: DataFrame, rows: DataFrame, weights: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between members of one key whose components differ so far and that no star compared."""
-    spark = stars.sparkSession
     several = stars.where("edges > 1")  # a star of one edge has been compared
-    placed = common.materialise(_with_comp(_with_comp(several.select("key", "a", "b"), labels, "a", "ca"), labels, "b", "cb"), "placed")
-    both = lambda edges: edges.select("key", F.col("a").alias("id"), F.col("ca").alias("comp")).union(edges.select("key", "b", "cb"))
+    placed = common.materialise(_with_comp(_with_comp(several, labels, "a", "ca"), labels, "b", "cb"), "placed")
+    both = lambda edges: edges.select("key", "edges", F.col("a").alias("id"), F.col("ca").alias("comp")).union(edges.select("key", "edges", "b", "cb"))
     ends = both(placed.where("ca <> cb"))
     keys = common.materialise(ends.groupBy("key").agg(F.approx_count_distinct("comp", 0.05).alias("n")), "keys")
-    few = ends.join(keys.where(f"n <= {LISTED}").select("key"), "key").select("key", "comp").distinct()
-    listed = few.groupBy("key").applyInArrow(_pairs_of, "p long, q long").distinct()
+    few = ends.join(keys.where(f"n <= {LISTED}").select("key"), "key").select("key", "comp", (F.col("edges") + 1).alias("members")).distinct()
     sizes = labels.groupBy("comp").agg(F.count("*").alias("size"))
-    of = lambda c: sizes.select(F.col("comp").alias(c), F.col("size").alias(f"n_{c}"))
-    listed = listed.join(of("p"), "p", "left").join(of("q"), "q", "left").fillna(1, ["n_p", "n_q"])
-    single = pairs.select(F.col("a").alias("p"), F.col("b").alias("q"), F.lit(1).cast("long").alias("n_p"), F.lit(1).cast("long").alias("n_q"))
-    listed = listed.join(single, ["p", "q", "n_p", "n_q"], "left_anti")
-    big = F.when(F.col("n_p") >= F.col("n_q"), F.col("p")).otherwise(F.col("q"))
-    listed = common.materialise(listed.select(big.alias("gid"), F.when(F.col("n_p") >= F.col("n_q"), F.col("q")).otherwise(F.col("p")).alias("small")), "contests")
+    few = few.join(sizes, "comp", "left").fillna(1, ["size"]).select("key", "comp", "size", "members")
+    contests = common.materialise(few.groupBy("key").applyInArrow(_contests_of, "key long, gid long, small long, alone boolean").distinct(), "contests")
+    compared = pairs.select(F.col("a").alias("gid"), F.col("b").alias("small"), F.lit(True).alias("alone"))
+    listed = common.materialise(contests.where("gid IS NOT NULL").join(compared, ["gid", "small", "alone"], "left_anti").select("gid", "small"), "listed")
     everyone = labels.select("id", "comp")
 
     def members(comps: DataFrame) -> DataFrame:
@@ -386,24 +392,29 @@ def _within_keys(stars: DataFrame, pairs: DataFrame, labels: DataFrame, rows: Da
         comps = comps.select("gid", F.col("of").alias("_of"))
         return comps.join(everyone, F.col("_of") == F.col("comp"), "left").select("gid", F.coalesce("id", "_of").alias("id"), F.col("_of").alias("comp"))
 
-    base = members(listed.select("gid", F.col("gid").alias("of")).distinct())
-    queries = members(listed.select("gid", F.col("small").alias("of")).distinct())
-    # keys with very many components: all members, by the key itself; those of its largest component are asked about only
-    crowd = common.materialise(both(placed.join(keys.where(f"n > {LISTED}").select("key"), "key")).distinct().withColumnRenamed("key", "gid"), "crowd")
+    role = lambda base, asks: (F.lit(base).alias("base"), F.lit(asks).alias("asks"))
+    asked = members(listed.select("gid", F.col("gid").alias("of")).distinct()).select("*", *role(True, False))
+    asking = members(listed.select("gid", F.col("small").alias("of"))).select("*", *role(False, True))
+    # the other keys: all members once, by the key itself; those of its largest component are asked about only
+    others = keys.where(f"n > {LISTED}").select("key").union(contests.where("key IS NOT NULL").select("key"))
+    crowd = common.materialise(both(placed.join(others, "key")).select(F.col("key").alias("gid"), "id", "comp").distinct(), "crowd")
     largest = crowd.groupBy("gid", "comp").agg(F.count("*").alias("size")).groupBy("gid").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"))
-    asking = crowd.join(largest, "gid").where("comp <> largest").select("gid", "id", "comp")
-    base = base.union(crowd).withColumn("query", F.lit(False)).union(queries.union(asking).withColumn("query", F.lit(True)))
-    base = common.materialise(base.join(weights, "id"), "contesters")
+    crowd = crowd.join(largest, "gid").select("gid", "id", "comp", F.lit(True).alias("base"), (F.col("comp") != F.col("largest")).alias("asks"))
+    base = common.materialise(asked.union(asking).union(crowd).join(weights, "id"), "contesters")
 
-    def needed(query: bool):
+    def needed(role: str):
         """Blocks of a gid's members, bounded by their number and by their shingles."""
-        of = lambda c: F.sum(F.when(F.col("query") == query, c).otherwise(0))
+        of = lambda c: F.sum(F.when(F.col(role), c).otherwise(0))
         return F.greatest(F.lit(1), F.ceil(of(F.lit(1)) / BLOCK), F.ceil(of(F.col("n")) / BLOCK_SHINGLES)).cast("int")
 
-    blocks = common.materialise(base.groupBy("gid").agg(needed(False).alias("base_blocks"), needed(True).alias("query_blocks")), "blocks")  # a plain join below, which may be split where a gid is hot
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("query_blocks")).otherwise(F.col("base_blocks"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("base_blocks")).otherwise(F.col("query_blocks")) - 1))
-    dealt = base.join(blocks, "gid").select("gid", "id", "comp", "query", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("gid", "id", "comp", "query", F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("j"))
+    blocks = common.materialise(base.groupBy("gid").agg(needed("base").alias("base_blocks"), needed("asks").alias("asks_blocks")), "blocks")  # a plain join below, which may be split where a gid is hot
+    own = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    dealt = base.join(blocks, "gid").withColumns({"row": own("base_blocks"), "column": own("asks_blocks")})
+    every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    at = lambda i, j, base, asks: F.struct(i.alias("i"), j.alias("j"), base.alias("base"), asks.alias("asks"))
+    # block i of the base meets block j of those who ask; a member with both roles is once where its own two blocks meet
+    as_base = F.transform(F.filter(every("asks_blocks"), lambda j: F.col("base")), lambda j: at(F.col("row"), j, F.lit(True), F.col("asks") & (j == F.col("column"))))
+    as_asking = F.transform(F.filter(every("base_blocks"), lambda i: F.col("asks") & (~F.col("base") | (i != F.col("row")))), lambda i: at(i, F.col("column"), F.lit(False), F.lit(True)))
+    dealt = dealt.select("gid", "id", "comp", F.explode(F.concat(as_base, as_asking)).alias("at")).select("gid", "id", "comp", "at.*")
     texts = _texts_of(rows, base.select("id")).dropDuplicates(["id"])
     return dealt.join(texts, "id").groupBy("gid", "i", "j").applyInArrow(_verify_block(shingle, percent), "a long, b long").distinct()

@@ -8,6 +8,7 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -180,6 +181,50 @@ def test_near_dedup_in_many_chains(spark):
     assert all(r.component_id == r.doc_id // 3 * 3 for r in got.collect())
 
 
+@pytest.mark.parametrize("n", [20, 60, 90])
+def test_near_dedup_sends_a_member_of_a_key_once(spark, monkeypatch, n):
+    """The rows of a key with n components are its members and not its pairs, below LISTED and beyond it; all its links are found."""
+    words = lambda k: [f"g{k // 2}_{j}" for j in range(50 - k % 2)]
+    rows = spark.createDataFrame([(k, " ".join(words(k))) for k in range(n)], "id long, text string")
+    stars = spark.createDataFrame([(7, 0, k, n - 1) for k in range(1, n)], "key long, a long, b long, edges long")
+    labels = spark.createDataFrame([], "id long, was long, comp long")
+    weights = spark.createDataFrame([(k, len(words(k))) for k in range(n)], "id long, n long")
+    within = lambda: {(r.a, r.b) for r in near_dedup._within_keys(stars, stars.select("a", "b"), labels, rows, weights, 1, 80).collect()}
+    assert within() | {(0, 1)} == {(k, k + 1) for k in range(0, n, 2)}
+
+    def counted(*_):
+        return lambda table: pa.table({"a": table.column("gid")[:1], "b": pa.array([table.num_rows])})
+
+    monkeypatch.setattr(near_dedup, "_verify_block", counted)
+    assert sum(sent for _, sent in within()) == n
+
+
+def test_near_dedup_sends_rows_in_proportion_to_a_group(spark, monkeypatch):
+    """One dense group of which few pairs are linked, at its size and at twice its size, against brute force; blocks and roles in one row included."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(160):
+        w = list(base)
+        for j in rng.sample(range(120), rng.randrange(8, 20)):
+            w[j] = f"v{k}_{j}"
+        texts.append((k, " ".join(w)))
+    sent, real = [], common.materialise
+
+    def seen(df, label):
+        out = real(df, label)
+        if label == "contesters":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "materialise", seen)
+    for n, block in ((80, 1024), (160, 1024), (160, 16)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = near_dedup.near_dedup(spark.createDataFrame(texts[:n], "doc_id long, text string").repartition(3), shingle=1)
+        assert collected(got) == sorted(brute.near(texts[:n], 1), key=repr)
+    assert all(s <= (near_dedup.BANDS + 1) * n for s, n in zip(sent, (80, 160, 160), strict=True))
+
+
 def test_near_dedup_finds_every_link_of_whole_documents(spark):
     """Recall against an exact join of all pairs of texts, with shingles of five words."""
     import pyarrow.parquet as pq
