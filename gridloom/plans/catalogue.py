@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.dtypes import DTYPES
@@ -147,6 +147,13 @@ r AS (SELECT v, u, {_AGG[name]} AS a FROM met WHERE {fill} GROUP BY v, u)
 SELECT row, col, idx, x, y, {value} AS value FROM cells LEFT JOIN r USING (v, u)"""
 
 
+def _shown(c: str, digits: int) -> Column:
+    """The rounded column.  Spark's round loses the sign of a zero, which SQL keeps."""
+    wide = F.col(c).cast("double")
+    near = F.round(wide, digits)
+    return F.when(near == 0, wide * F.lit(0.0)).otherwise(near).alias(c)
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.round("value", 6))
 
@@ -176,7 +183,7 @@ xy AS (SELECT record_index, CASE WHEN ok = 1 THEN CAST(l * {_d(_M.a * _M.k0)} AS
 @register("project_merc_forward", f"WITH {_EVENTS},{_MERC_XY} SELECT record_index, round(CAST(x AS DOUBLE), 0) AS x, round(CAST(y AS DOUBLE), 0) AS y FROM xy")
 def _(spark, sf_dir):
     o = q.observe(events(spark, sf_dir), MERC)
-    return o.select("record_index", F.round(F.col("x").cast("double"), 0).alias("x"), F.round(F.col("y").cast("double"), 0).alias("y"))
+    return o.select("record_index", _shown("x", 0), _shown("y", 0))
 
 
 def _merc_inverse_sql() -> str:
@@ -192,7 +199,7 @@ SELECT row, col, idx, x, y, round(CAST(CAST(degrees(CAST(x AS DOUBLE) / {_d(_M.a
 @register("grid_geolocation_merc", _merc_inverse_sql())
 def _(spark, sf_dir):
     g = p.grid_geolocation(spark, TENS, MERC)
-    return g.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in ("lon", "lat")})
+    return g.withColumns({c: _shown(c, 4) for c in ("lon", "lat")})
 
 
 # Further kinds of projection.  A counterpart gives x and y of each observation, or lon and lat of each cell, in textbook form.
@@ -234,18 +241,18 @@ def _forward(definition: str, where: str | None = None):
     def run(spark, sf_dir):
         seen = events(spark, sf_dir)
         o = q.observe(seen.where(where) if where else seen, definition)
-        return o.select("record_index", *(F.round(F.col(c).cast("double"), 0).alias(c) for c in ("x", "y")))
+        return o.select("record_index", _shown("x", 0), _shown("y", 0))
 
     return run
 
 
 def _inverse(definition: str, g: GridSpec):
-    return lambda spark, sf_dir: p.grid_geolocation(spark, g, definition).withColumns({c: F.round(F.col(c).cast("double"), 3) for c in ("lon", "lat")})
+    return lambda spark, sf_dir: p.grid_geolocation(spark, g, definition).withColumns({c: _shown(c, 3) for c in ("lon", "lat")})
 
 
 # longlat: radians
 register("project_longlat_forward", f"WITH {_EVENTS},{_angles(0)} SELECT record_index, round(CAST(CAST(l AS FLOAT) AS DOUBLE), 5) AS x, round(CAST(CAST(phi AS FLOAT) AS DOUBLE), 5) AS y FROM ang")(
-    lambda spark, sf_dir: q.observe(events(spark, sf_dir), "+proj=longlat +datum=WGS84").select("record_index", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in ("x", "y")))
+    lambda spark, sf_dir: q.observe(events(spark, sf_dir), "+proj=longlat +datum=WGS84").select("record_index", _shown("x", 5), _shown("y", 5))
 )
 
 # sinusoidal: the meridian's length by powers of the squared eccentricity
