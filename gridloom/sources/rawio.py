@@ -1,9 +1,9 @@
 """Flat binary files: a data source for coordinates and values, and a sink for rasters.
 
 Files hold items of one type in native order without a header; item i of each belongs to observation i.  Readers take slices of the
-files, so any number of tasks can read; paths must be visible to every executor.  A raster is written at fixed offsets into one file
-beside the target, so a repeated task writes the same bytes again; it takes the target's place when all tasks are done, and goes when
-one fails.
+files, so any number of tasks can read, but many small slices don't make a task each; paths must be visible to every executor.  A raster
+is written at fixed offsets into one file beside the target, so a repeated task writes the same bytes again; it takes the target's place
+when all tasks are done, and goes when one fails.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from gridloom.functions.dtypes import DType, dtype
 
 #: Items of a reader's slice and of a record batch.
 SLICE, BATCH = 1 << 22, 1 << 16
+#: Tasks of a reader whose slices are small; more only as there would be with slices of the usual size.
+TASKS = 64
 
 
 def _size(path: str) -> int:
@@ -65,7 +67,10 @@ class _Reader(DataSourceReader):
         self.slice = int(options.get("slice", SLICE))
 
     def partitions(self):
-        return [_Slice(k, min(self.slice, self.n - k)) for k in range(0, self.n, self.slice)] or [_Slice(0, 0)]
+        """A task for each slice; where slices are small and many, a task for several that follow one another."""
+        most = max(TASKS, -(-self.n // SLICE))
+        step = self.slice * max(1, -(-self.n // (self.slice * most)))
+        return [_Slice(k, min(step, self.n - k)) for k in range(0, self.n, step)] or [_Slice(0, 0)]
 
     def read(self, part):
         for at in range(part.start, part.start + part.count, BATCH):
