@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.dtypes import numeric
+from gridloom.functions.kinds import KINDS
 from gridloom.functions.projection import DEFAULT, Projection
 from gridloom.functions.reductions import Observed, reduction
 from gridloom.operators.assign import box_distances
@@ -28,12 +29,15 @@ def observe(obs: DataFrame, projection: Projection | str = DEFAULT, mode: str =
     given = obs.withColumns({"lon": F.col("lon").cast("float"), "lat": F.col("lat").cast("float"), "t": t})
     ok = F.lit(True)
     for c in ("lon", "lat", "t"):
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(math.inf))
+        ok = ok & (F.abs(c) < F.lit(math.inf))  # neither null nor NaN
     if mode == "drop":
         given = given.where(ok)
-    else:
-        given = given.withColumn("lon", F.when(ok, F.col("lon")).otherwise(F.raise_error(F.lit("an observation isn't finite"))))
+    stop = lambda c: F.when(ok, c).otherwise(F.raise_error(F.lit("an observation isn't finite")).cast("float"))
+    if mode == "failfast" and p.kind in KINDS:
+        given = given.withColumn("lon", stop(F.col("lon")))
     x, y = p.forward(F.col("lon"), F.col("lat"))
+    if mode == "failfast" and p.kind not in KINDS:  # around the short formulas, where it stands once: filters on x copy all of it
+        x = stop(x)
     return given.select(*(c for c in obs.columns if c not in ("lon", "lat", "t")), x.alias("x"), y.alias("y"), "t")
 
 
